@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text that an Arrow operator handles at once, in bytes.  A longer single text is a batch of its own.
@@ -43,7 +44,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         if not batch.num_rows:
             continue
         start, size = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+        for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
             if size and size + (n or 0) > limit:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
