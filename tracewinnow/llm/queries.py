@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, media, mixing, pii, quality, sharding, simhash, tokens
+from . import exact_dedup, licenses, media, mixing, pii, quality, sharding, simhash, substrings, tokens
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_sentencepiece, op5_media, op6_simhash, op7_quality, op8_mix_sources, op9_sharding, op10_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_suffix_dedup, op5_media, op6_simhash, op7_quality, op8_mix_sources, op9_sharding, op10_licenses)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": r"""
