@@ -79,6 +79,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with their columns."""
     labels = exact_dedup(docs, **options)
-    drop = labels.filter(~F.col("kept")).select(F.col("doc_id").alias("__drop")).distinct()
+    drop = materialise(labels.filter(~F.col("kept")).select(F.col("doc_id").alias("__drop")).distinct(), "exact-drop")
     id_col = options.get("id_col", "doc_id")
     return docs.join(drop, docs[id_col].eqNullSafe(drop["__drop"]), "left_anti")

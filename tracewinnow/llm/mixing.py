@@ -179,6 +179,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as :func:`mix` takes it, with their columns."""
     took = mix(docs, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
+    took = materialise(took, "mix-copies")
     id_col = options.get("id_col", "doc_id")
     out = docs.join(took, docs[id_col].eqNullSafe(took["__id"]))
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])

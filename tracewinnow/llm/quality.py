@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, utf8
 
@@ -85,15 +86,17 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     )
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``STATS`` of every row of ``docs``; a null text counts as empty."""
+def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with ``STATS``, each named with ``prefix``, of every row; a null text counts as empty."""
+    names = [prefix + s for s in STATS]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            stats = statistics(utf8(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(stats[:, k]) for k in range(len(STATS)))], names=["doc_id", *STATS])
+        for batch in slices(batches, text_col):
+            stats = statistics(utf8(batch.column(text_col)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(stats[:, k]) for k in range(len(STATS)))], names=[*batch.schema.names, *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATS))
+    return docs.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -109,10 +112,11 @@ class Rule:
             out &= (x[:, k] > t) == above
         return out
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         out = None
         for k, above, t in self.terms:
-            term = F.col(STATS[k]) > F.lit(float(t)) if above else F.col(STATS[k]) <= F.lit(float(t))
+            stat = F.col(f"`{prefix}{STATS[k]}`")
+            term = stat > F.lit(float(t)) if above else stat <= F.lit(float(t))
             out = term if out is None else out & term
         return out
 
@@ -197,11 +201,11 @@ class RuleEnsemble:
             z += r.weight * r.holds(x)
         return sigmoid(z)
 
-    def column(self) -> Column:
-        """The score as an expression over ``STATS``."""
+    def column(self, prefix: str = "") -> Column:
+        """The score as an expression over ``STATS``, named with ``prefix``."""
         z = F.lit(self.intercept)
         for r in self.rules:
-            z = z + F.when(r.column(), F.lit(r.weight)).otherwise(F.lit(0.0))
+            z = z + F.when(r.column(prefix), F.lit(r.weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
@@ -237,18 +241,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, label:
     return fit(rows[list(STATS)].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float), **options)
 
 
-def classify(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3) -> DataFrame:
+def classify(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score and predicted (1 from ``threshold`` up).
 
     A null text counts as empty and is scored too.  Repeated rows give repeated
     results, rows without an id are held out, an empty table gives an empty
     result, and other columns are ignored: the score sees the text alone.
     """
-    scored = with_statistics(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scored = with_statistics(texts).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3) -> DataFrame:
+def keep_good(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`classify` predicts as 1, with their columns."""
-    bad = classify(docs, model, threshold).filter("predicted = 0").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    prefix = "__stat_"
+    return with_statistics(docs, text_col, prefix).filter(model.column(prefix) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

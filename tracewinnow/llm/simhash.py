@@ -213,6 +213,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, or have no id, with their columns."""
-    drop = near_duplicates(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
+    drop = materialise(near_duplicates(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct(), "simhash-drop")
     id_col = options.get("id_col", "doc_id")
     return docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
