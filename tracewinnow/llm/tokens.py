@@ -22,6 +22,7 @@ the text takes the byte fallback, so decoding gives every text back exactly.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,11 +74,21 @@ class Transducer:
             for n in range(1, len(p)):
                 self.arcs.setdefault(p[:n], -1)
             self.arcs[p] = i
+        self.ends: dict[int, tuple[list, list] | None] = {}
         self.stands: dict[int, bool] = {}
         self.paths: dict[str, bytes] = {}
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """The model's merges applied to a few symbols: the best-scored pair first, the leftmost of equals."""
+    def edges(self, p: int) -> tuple[list, list] | None:
+        """How the merges build piece ``p`` from its characters, seen from its two ends.
+
+        For either end the symbols that stand there one after another, each with
+        the score of the merge that consumes it.  None if the merges give
+        something else than ``p``.
+        """
+        if p in self.ends:
+            return self.ends[p]
+        symbols = list(self.text[p])
+        left, right = [[symbols[0], -INF]], [[symbols[-1], -INF]]
         while len(symbols) > 1:
             best, at = -INF, -1
             for i in range(len(symbols) - 1):
@@ -87,65 +98,89 @@ class Transducer:
             if at < 0:
                 break
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
+            if at == 0:
+                left[-1][1] = best
+                left.append([symbols[0], -INF])
+            if at == len(symbols) - 1:
+                right[-1][1] = best
+                right.append([symbols[-1], -INF])
+        self.ends[p] = (left, right) if len(symbols) == 1 else None
+        return self.ends[p]
 
     def allowed(self, a: int, b: int) -> bool:
-        """Whether piece ``b`` can stand after piece ``a``."""
-        key = a * len(self.text) + b
-        ok = self.stands.get(key)
-        if ok is None:
-            if len(self.stands) >= REMEMBERED:
-                self.stands.clear()
-            x, y = self.text[a], self.text[b]
-            ok = self.stands[key] = not self.merges or self.merged(list(x + y)) == [x, y]
-        return ok
+        """Whether piece ``b`` can stand after piece ``a``: no merge across their border comes before those that build them.
+
+        The symbols on the two sides of the border change in the order of the
+        scores of their merges, the left side first among equals.
+        """
+        x, y = self.edges(a), self.edges(b)
+        if x is None or y is None:
+            return False
+        x, y, i, j = x[1], y[0], 0, 0
+        while True:
+            (s, before), (t, after) = x[i], y[j]
+            k = self.piece.get(s + t)
+            if k is not None and self.score[k] > before and self.score[k] >= after:
+                return False
+            if before == after == -INF:
+                return True
+            if before >= after:
+                i += 1
+            else:
+                j += 1
 
     def shortest(self, word: str) -> list[int]:
         """The shortest path through the composition with one word."""
         n = len(word)
-        #: At each position, for each piece that a path may end in (-1: none or bytes): weight, position before, arc.
-        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
-        best[0][-1] = (0.0, 0, -1)
-        arcs, score, merges = self.arcs, self.score, self.merges
+        #: At each position: weight, piece that the path ends in (-1: none or bytes), position before.  Merges encode each
+        #: beginning of a word in one way, so a position has one path of finite weight; unigram arcs don't ask what was before.
+        weight, piece, before = [INF] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        weight[0] = 0.0
+        arc, stands, size, merges, score = self.arcs.get, self.stands, len(self.text), self.merges, self.score
         for i in range(n):
-            here = best[i]
-            if not here:
+            here, a = weight[i], piece[i]
+            if here == INF:
                 continue
-            single = False
-            for j in range(i + 1, n + 1):
-                b = arcs.get(word[i:j])
+            single, j = False, i + 1
+            while j <= n:
+                b = arc(word[i:j])
                 if b is None:
                     break
-                if b < 0:
-                    continue
-                single |= j == i + 1
-                cost = 1.0 if merges else -score[b]
-                for a, (weight, _, _) in here.items():
-                    if a < 0 or not merges or self.allowed(a, b):
-                        old = best[j].get(b)
-                        if old is None or weight + cost < old[0]:
-                            best[j][b] = (weight + cost, i, a)
-            if not single:
-                a, (weight, _, _) = min(here.items(), key=lambda x: x[1][0])
-                best[i + 1][-1] = (weight + 10.0, i, a)
+                if b >= 0:
+                    if j == i + 1:
+                        single = True
+                    cost = here + (1.0 if merges else -score[b])
+                    if weight[j] == INF if merges else cost < weight[j]:
+                        ok = True
+                        if merges and a >= 0:
+                            ok = stands.get(a * size + b)
+                            if ok is None:
+                                if len(stands) >= REMEMBERED:
+                                    stands.clear()
+                                ok = stands[a * size + b] = self.allowed(a, b)
+                        if ok:
+                            weight[j], piece[j], before[j] = cost, b, i
+                j += 1
+            if not single and here + 10.0 < weight[i + 1]:
+                weight[i + 1], piece[i + 1], before[i + 1] = here + 10.0, -1, i
         out: list[int] = []
-        at, a = n, min(best[n].items(), key=lambda x: x[1][0])[0]
+        at = n
         while at:
-            _, before, previous = best[at][a]
-            if a < 0:
-                out += [self.byte[x] for x in reversed(word[before].encode())]
+            if piece[at] < 0:
+                out += [self.byte[x] for x in reversed(word[before[at]].encode())]
             else:
-                out.append(a)
-            at, a = before, previous
-        return out[::-1]
+                out.append(piece[at])
+            at = before[at]
+        out.reverse()
+        return out
 
     def path(self, word: str) -> bytes:
-        """The ids of a word's path as little-endian 32-bit integers."""
+        """The ids of a word's path as 32-bit integers."""
         got = self.paths.get(word)
         if got is None:
             if len(self.paths) >= REMEMBERED:
                 self.paths.clear()
-            got = self.paths[word] = np.array(self.shortest(word), dtype="<i4").tobytes()
+            got = self.paths[word] = array("i", self.shortest(word)).tobytes()
         return got
 
     def stretch(self, text: str, first: str) -> bytes:
@@ -160,13 +195,13 @@ class Transducer:
         return b"".join([get(w) or path(w) for w in words])
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian 32-bit integers; none for the empty text."""
+        """The ids of a text as 32-bit integers; none for the empty text."""
         if not text:
             return b""
         first = MARK if self.prefix else ""
         if MARK not in text:
             return self.stretch(text, first)
-        literal = np.array([self.byte[x] for x in MARK.encode()], dtype="<i4").tobytes()
+        literal = np.array([self.byte[x] for x in MARK.encode()], dtype=np.int32).tobytes()
         head, *rest = text.split(MARK)
         return self.stretch(head, first) + b"".join(literal + (self.stretch(r, "") if r else b"") for r in rest)
 
@@ -207,7 +242,7 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
         for batch in slices(batches):
             coded = [t.encode(x or "") for x in batch.column("text").to_pylist()]
             sizes = np.array([len(c) // 4 for c in coded], dtype=np.int64)
-            flat = np.frombuffer(b"".join(coded), dtype="<i4")
+            flat = np.frombuffer(b"".join(coded), dtype=np.int32)
             offsets = np.concatenate(([0], np.cumsum(sizes)))
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
             decoded = [t.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
