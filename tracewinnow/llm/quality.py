@@ -92,7 +92,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "") -
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 1 << 20):
             stats = statistics(utf8(batch.column(text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(stats[:, k]) for k in range(len(STATS)))], names=[*batch.schema.names, *names])
 

@@ -35,7 +35,7 @@ from .common import slices
 MARK = "▁"
 INF = float("inf")
 #: Words whose paths, and neighbours whose standing, a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 NORMAL, BYTE, UNIGRAM = 1, 6, 1
 
 
