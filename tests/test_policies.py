@@ -1,0 +1,224 @@
+"""Each case runs through the Python evaluation and through the Spark plan; both must agree with the expectation."""
+
+import random
+
+import pytest
+
+from tracewinnow.config import ConfigError
+from tracewinnow.functions import ids
+from tracewinnow.functions.conditions import ConditionError
+from tracewinnow.model import SPAN, Decision, Priority, span
+from tracewinnow.operators import decide
+from tracewinnow.operators.exact import earliest_start
+from tracewinnow.operators.policies import And, Condition, Downgrader, Latency, Named, Probabilistic, RemoteProbabilistic, RootSpans, SpanCount, Static, StatusCode, Threshold, Unit
+
+TE = "0102030405060708090a0b0c0d0e0f10"
+TA = "000000000000000052969a8955571a3f"
+
+
+def python(policy, spans, count=None, low=False):
+    count = len(spans) if count is None else count
+    start = earliest_start(spans)
+    return policy.evaluate(Unit(spans[0]["trace_id"] if spans else TE, spans, count, start, max([0, *(s["end_ns"] for s in spans)]), None, low))
+
+
+def plan(spark, policy, spans):
+    """Decision of the last unit."""
+    df = spark.createDataFrame(spans, SPAN)
+    rows = decide.evaluated(df, [Named("p", policy)]).select("batch_seq", "_d0").collect()
+    return max(rows)[1]
+
+
+def threshold_spans(low, texts):
+    tid = "0" * 16 + low
+    return [span(tid, f"{i:016x}", span_idx=i, attrs={} if t is None else {"sampling.tail.threshold": t}) for i, t in enumerate(texts)]
+
+
+THRESHOLDS = [
+    ("007fffffffffffff", ["0x7ffffffffffffe"], "Sampled"),
+    ("007ffffffffffffe", ["0x7fffffffffffff"], "Pending"),
+    ("007fffffffffffff", ["0x8"], "Pending"),
+    ("008fffffffffffff", ["0x8"], "Sampled"),
+    ("0000000000000000", ["0x"], "Sampled"),
+    ("00fd70a3d5000000", ["0xfd70a3d6", "0xfd70a3d5"], "Sampled"),
+    ("00fd70a3d5000000", ["0xfd70a3d5", "0xfd70a3d6"], "Sampled"),
+    ("fffffffffffffffe", ["0xffffffffffffff"], "Pending"),
+    ("ffffffffffffffff", ["invalid", "0x000"], "Sampled"),
+    ("ffffffffffffffff", ["invalid", "00000"], "Pending"),
+    ("ffffffffffffffff", ["000000000000000"], "Pending"),
+    ("ffffffffffffffff", ["0x000000000000000"], "Pending"),
+    ("ffffffffffffffff", ["0x1\n"], "Pending"),
+    ("ffffffffffffffff", [None], "Pending"),
+    ("ffffffffffffffff", [12], "Pending"),
+]
+
+
+def test_threshold(spark):
+    everything = []
+    for i, (low, texts, want) in enumerate(THRESHOLDS):
+        spans = threshold_spans(low, texts)
+        assert python(Threshold(), spans)[0] == want, (low, texts)
+        everything += [s | {"batch_seq": i} for s in spans]
+    rows = decide.evaluated(spark.createDataFrame(everything, SPAN), [Named("p", Threshold())]).select("batch_seq", "_d0").collect()
+    assert dict(map(tuple, rows)) == {i: want for i, (_, _, want) in enumerate(THRESHOLDS)}
+
+
+def test_rv(spark):
+    df = spark.createDataFrame([("ff0000000000ffffff01020304050607",)], "t string")
+    assert df.select(ids.rv(df.t)).first()[0] == 0x01020304050607
+
+
+ZERO = "0" * 32
+ROOTS = [
+    # earlier spans, parents of the unit's spans, sub decision, expected
+    (0, ["0" * 16], Static("Pending"), "LowPriority"),
+    (0, ["0001020304050607"], Static("Pending"), "Pending"),
+    (0, ["0001020304050607"], Static("Sampled"), "Pending"),
+    (0, ["0" * 16] * 2, Static("Sampled"), "Pending"),
+    (9, ["0" * 16], Static("Pending"), "Pending"),
+    (0, ["0" * 16], Static("Pending", True), "Unspecified"),
+]
+
+
+@pytest.mark.parametrize("earlier, parents, sub, want", ROOTS)
+def test_root_spans(spark, earlier, parents, sub, want):
+    own = [span(ZERO, f"{i:016x}", p, batch_seq=1, span_idx=i) for i, p in enumerate(parents)]
+    before = [span(ZERO, f"{i + 50:016x}", span_idx=i) for i in range(earlier)]
+    assert python(RootSpans(sub), own, earlier + len(own))[0] == want
+    assert plan(spark, RootSpans(sub), before + own) == want
+
+
+def test_root_spans_of_low_or_empty():
+    own = [span(ZERO, "1", "0001020304050607")]
+    assert python(RootSpans(Static("Pending")), own, low=True) == ("LowPriority", False)
+    assert python(RootSpans(Static("Sampled")), own, low=True) == ("Pending", False)
+    assert python(RootSpans(Static("Pending")), [], 1) == ("Unspecified", True)
+    half = [span(TE, "1", "090a0b0c0d0e0f10")]
+    assert python(RootSpans(Static("Pending")), half)[0] == "LowPriority"
+
+
+@pytest.mark.parametrize("ms, want", [(4500, "Pending"), (5000, "Sampled"), (8000, "Sampled")])
+def test_latency(spark, ms, want):
+    own = [span(TE, "1", start_ns=1_000_000_000, end_ns=1_000_000_000 + ms * 1_000_000)]
+    assert python(Latency(5000), own)[0] == want and plan(spark, Latency(5000), own) == want
+
+
+@pytest.mark.parametrize("new, cached, want", [(1, 0, "Pending"), (3, 0, "Sampled"), (2, 1, "Sampled")])
+def test_span_count(spark, new, cached, want):
+    own = [span(TE, str(i), batch_seq=1, span_idx=i) for i in range(new)]
+    before = [span(TE, str(i + 9), span_idx=i) for i in range(cached)]
+    assert python(SpanCount(3), own, new + cached)[0] == want and plan(spark, SpanCount(3), before + own) == want
+
+
+@pytest.mark.parametrize("codes, statuses, want", [(("ERROR",), "OK UNSET OK", "Pending"), (("OK", "ERROR"), "UNSET UNSET", "Pending"), (("UNSET",), "UNSET", "Sampled"), (("OK", "UNSET"), "ERROR OK", "Sampled")])
+def test_status_code(spark, codes, statuses, want):
+    own = [span(TE, str(i), span_idx=i, status=s) for i, s in enumerate(statuses.split())]
+    assert python(StatusCode(codes), own)[0] == want and plan(spark, StatusCode(codes), own) == want
+
+
+def test_status_code_errors():
+    with pytest.raises(ConfigError):
+        StatusCode(())
+    with pytest.raises(ConfigError, match='unknown status code "ERR", supported: OK, ERROR, UNSET'):
+        StatusCode(("OK", "ERR"))
+
+
+def test_and(spark):
+    own = [span(TA, "1")]
+    for policy, want in ((And((Probabilistic("", 0), Probabilistic("", 100))), "Pending"), (And((Probabilistic("", 100), Probabilistic("", 100))), "Sampled"), (And(()), "Sampled"), (And((Static("Sampled"), Static("LowPriority"))), "LowPriority"), (And((Static("Sampled", True), Static("Sampled"))), "Unspecified"), (And((Static("Pending"), Static("Sampled", True))), "Pending")):
+        assert python(policy, own)[0] == want and plan(spark, policy, own) == want
+
+
+def test_downgrader(spark):
+    own = [span(TE, "1")]
+    for to, sub, want in (("NotSampled", Static("Sampled"), "NotSampled"), ("NotSampled", Static("Pending"), "Pending"), ("LowPriority", Static("Sampled"), "LowPriority"), ("NotSampled", Static("Sampled", True), "Unspecified")):
+        assert python(Downgrader(to, sub), own)[0] == want and plan(spark, Downgrader(to, sub), own) == want
+
+
+CONDITIONS = [
+    (['attributes["k"] == "v"'], [], {"k": "v"}, {}, "Sampled"),
+    (['attributes["k"] != "v"'], [], {"k": "v"}, {}, "Pending"),
+    (['attributes["k"] != "v"'], [], {"k": "w"}, {}, "Sampled"),
+    (['attributes["k"] != "v"'], [], {}, {}, "Sampled"),
+    (['attributes["k"] == nil'], [], {}, {}, "Sampled"),
+    ([], ['attributes["e"] == "f"'], {}, {"e": "f"}, "Sampled"),
+    ([], ['name != "incorrect event name"'], {}, {}, "Sampled"),
+    ([], ['name == "incorrect event name"', 'span.name == "op"'], {}, {}, "Sampled"),
+    (['attributes["n"] > 4 and attributes["n"] <= 5.5'], [], {"n": 5}, {}, "Sampled"),
+    (['attributes["n"] > 4'], [], {"n": "5"}, {}, "Pending"),
+    (['attributes["n"] == 5'], [], {"n": 5.0}, {}, "Sampled"),
+    (['attributes["b"] == true'], [], {"b": True}, {}, "Sampled"),
+    (['not (attributes["k"] == "v" or name == "op")'], [], {}, {}, "Pending"),
+    (['IsMatch(attributes["k"], "^v[0-9]$")'], [], {"k": "v7"}, {}, "Sampled"),
+    (['IsMatch(attributes["n"], "^[0-9]$")'], [], {"n": 7}, {}, "Sampled"),
+    (['IsRootSpan()'], [], {}, {}, "Sampled"),
+    (['IsString(attributes["n"]) or IsInt(attributes["k"])'], [], {"n": 5, "k": "v"}, {}, "Pending"),
+    (['Len(attributes["k"]) == 3 and ToUpperCase(attributes["k"]) == "ABC"'], [], {"k": "abc"}, {}, "Sampled"),
+    (['HasPrefix(name, "o") and status.code == STATUS_CODE_ERROR'], [], {}, {}, "Sampled"),
+    (['resource.attributes["service.name"] == "s"'], [], {}, {}, "Sampled"),
+]
+
+
+@pytest.mark.parametrize("own, events, attrs, event_attrs, want", CONDITIONS)
+def test_conditions(spark, own, events, attrs, event_attrs, want):
+    policy = Condition(tuple(own), tuple(events))
+    spans = [span(TE, "1", name="op", status="ERROR", resource={"service.name": "s"}, attrs=attrs, events=[{"name": "test event", "attrs": event_attrs}])]
+    assert python(policy, spans)[0] == want and plan(spark, policy, spans) == want
+
+
+def test_condition_errors():
+    with pytest.raises(ConfigError):
+        Condition()
+    for bad in ("invalid_expr", 'attributes["a"] ==', 'name', 'nope["a"] == 1', 'Unknown(name)', 'IsMatch(name, "([")', 'attributes["a"] == "b" extra', "'x' == 1"):
+        with pytest.raises(ConditionError):
+            Condition((bad,))
+    with pytest.raises(ConditionError):
+        Condition((), ("IsRootSpan()",))
+    assert python(Condition(('attributes["k"] == "v"',), ('attributes["e"] == "f"',)), [], 0) == ("Pending", False)
+
+
+RATES = [(100, "", 100), (0, "", 0), (25, "", 25), (33, "", 33), (33, "test-salt", 33), (-50, "", 0), (150, "", 100)]
+
+
+def test_sampling_rates(spark):
+    r = random.Random(1)
+    n = 100_000
+    trace_ids = [f"{r.getrandbits(128):032x}" for _ in range(n)]
+    df = spark.createDataFrame([(t,) for t in trace_ids], "trace_id string")
+    cols = [Probabilistic(salt, pct).decision("x").alias(f"c{i}") for i, (pct, salt, _) in enumerate(RATES)]
+    rows = df.select("trace_id", *cols).toPandas()
+    for i, (pct, salt, want) in enumerate(RATES):
+        assert abs((rows[f"c{i}"] == "Sampled").mean() * 100 - want) <= 0.2
+    for t, got in list(zip(rows["trace_id"], rows["c4"]))[:500]:
+        assert Probabilistic("test-salt", 33).evaluate(Unit(t, [], 0, 0, 0))[0] == got
+
+
+def test_remote_rate(spark):
+    def broken():
+        raise OSError("unreachable")
+
+    own = [span(TE, "1")]
+    p = RemoteProbabilistic("", 100, "g")
+    p.start({"g": broken})
+    assert python(p, own) == ("Sampled", True) and plan(spark, p, own) == "Sampled"
+    p.start({"g": lambda: -1.0})
+    assert python(p, own) == ("Sampled", True)
+    p.start({"g": lambda: 0.0})
+    assert python(p, own) == ("Pending", False) and plan(spark, p, own) == "Pending"
+    for getters in ({}, {"g": 5}):
+        with pytest.raises(ConfigError):
+            RemoteProbabilistic("", 1, "g").start(getters)
+    RemoteProbabilistic("", 1).start({})
+    assert And((RemoteProbabilistic("", 0, "g"),)).evaluate(Unit(TE, [], 0, 0, 0)) == ("Pending", False)  # never started inside another
+
+
+def test_thresholds():
+    assert [ids.sampling_threshold(x) for x in (25, 50, 0.1, 33, 100, 150, 0, -50)] == [4611686018427387903, 9223372036854775807, 18446744073709551, 6087425544324152319, (1 << 64) - 1, (1 << 64) - 1, 0, 0]
+
+
+def test_domains():
+    for d in Decision:
+        assert Decision.parse(d.name) is d
+    with pytest.raises(ValueError):
+        Decision.parse("InvalidInput")
+    assert Priority.Unspecified > Priority.Low and [Priority.text(x) for x in (0, 1, 2)] == ["", "Low", "Unspecified"]

@@ -21,7 +21,7 @@ def grouped(value: Column, policy: Named) -> Column:
 
 def policy_decisions(unit_rows: DataFrame, policies: list[Named]) -> DataFrame:
     """Evaluations that were not pending, by policy, decision and, for final ones, where the decision came from."""
-    sources = F.array(*[grouped(F.coalesce(F.col(f"`_from_{p.record_from}`"), F.lit("")), p) if p.record_from else F.lit("") if not p.mappings else grouped(F.lit(""), p) for p in policies])
+    sources = F.array(*[grouped(F.coalesce(F.col(f"_from{i}"), F.lit("")) if p.record_from else F.lit(""), p) for i, p in enumerate(policies)])
     names = F.array(*[F.lit(p.name) for p in policies])
     seen = F.slice(F.arrays_zip(names.alias("policy"), F.col("effective").alias("decision"), sources.alias("decision_from")), 1, F.greatest("position", F.lit(0)))
     rows = unit_rows.filter(~F.col("late") & F.col("control").isNull()).select(F.explode(seen).alias("e")).select("e.*").filter("decision <> 'Pending'")

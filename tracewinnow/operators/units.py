@@ -35,8 +35,7 @@ def units(spans: DataFrame, policies: list[Named] | tuple[Named, ...] = (), zero
     place = F.struct("scope_idx", "span_idx", "start_ns")
     start = earliest(F.transform(F.array_sort(F.collect_list(place)), lambda s: s["start_ns"])) if zero_starts else F.min("start_ns")
     extra = [c.alias(n) for i, p in enumerate(policies) for n, c in p.policy.aggregates(f"_p{i}_").items()]
-    recorded = {p.record_from for p in policies if p.record_from}
-    extra += [F.min(resource_text(k)).alias(f"_from_{k}") for k in sorted(recorded)]
+    extra += [F.min(resource_text(p.record_from)).alias(f"_from{i}") for i, p in enumerate(policies) if p.record_from]
     is_control = F.map_contains_key("resource_attrs", F.lit(DECISION))
     control = F.when(is_control, F.coalesce(F.try_element_at("resource_attrs", F.lit(DECISION))["b"], F.lit(False)))
     return spans.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_spans"), start.alias("start_ns"), F.greatest(F.max("end_ns"), F.lit(0)).alias("end_ns"), F.bool_or(control).alias("control"), *extra)
