@@ -1,0 +1,81 @@
+import hashlib
+import struct
+import zlib
+
+import numpy as np
+
+from tracewinnow.llm import media as M
+
+
+def test_tables_by_the_definition():
+    def mulaw(u):
+        u = ~u & 255
+        t = (((u & 15) << 3) + 132 << (u >> 4 & 7)) - 132
+        return -t if u & 128 else t
+
+    def alaw(a):
+        a ^= 0x55
+        t, seg = (a & 15) << 4, a >> 4 & 7
+        t = t + 8 if seg == 0 else t + 264 << seg - 1
+        return t if a & 128 else -t
+
+    assert M.TABLES["mulaw"].tolist() == [mulaw(i) for i in range(256)]
+    assert M.TABLES["alaw"].tolist() == [alaw(i) for i in range(256)]
+    assert M.TABLES["mulaw"][0] == -32124 and M.TABLES["mulaw"][255] == 0 and M.TABLES["alaw"][0xD5] == 8
+
+
+def adpcm_one(block):
+    """One block, sample by sample."""
+    value, index = struct.unpack("<h", block[:2])[0], min(block[2], 88)
+    out = [value]
+    for byte in block[4:]:
+        for n in (byte & 15, byte >> 4):
+            step = int(M.STEPS[index])
+            d = step >> 3
+            d += step if n & 4 else 0
+            d += step >> 1 if n & 2 else 0
+            d += step >> 2 if n & 1 else 0
+            value = max(-32768, min(32767, value - d if n & 8 else value + d))
+            index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[n & 7]))
+            out.append(value)
+    return out
+
+
+def test_adpcm_blocks():
+    blocks = np.random.default_rng(0).integers(0, 256, (50, M.UNIT), dtype=np.uint8)
+    assert M.adpcm_decode(blocks).tolist() == [adpcm_one(b.tobytes()) for b in blocks]
+
+
+def test_containers():
+    for codec in M.CODECS:
+        payload = bytes(range(64)) * 3
+        assert M.read_wav(M.wav(payload, codec)) == (codec, payload)
+
+
+def test_resample():
+    out = M.resample(np.array([0, 10, -10, 7], dtype=np.int16), np.array([3, 4]))
+    assert out.tolist() == [0, 5, 10, 0, -10, -10, 7, 7]
+
+
+def test_against_definition(odd, small):
+    for df in (odd, small):
+        texts = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect()))
+        rows = sorted(M.media_digest(df).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_bytes))
+        assert len(rows) == len(texts)
+        by_payload = {}
+        for t in {t for *_, t in texts}:
+            data = t.encode()
+            padded = data + b"\0" * (-len(data) % 64 if data else 64)
+            by_payload[hashlib.sha256(padded).hexdigest(), len(data)] = (len(padded), zlib.crc32(padded[-64:]))
+        for r in rows:
+            assert by_payload[r.payload_sha256, r.n_bytes] == (r.payload_bytes, r.tail_crc32)
+        assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in rows}) == len({r.payload_sha256 for r in rows})
+
+
+def test_pcm_is_stored(odd):
+    for r in M.audio(odd).collect():
+        assert len(r.pcm) == 4 * r.n_samples and M.read_wav(bytes(r.media)) == (r.codec, bytes(r.payload))
+
+
+def test_contract(agree):
+    agree(M.media_digest)

@@ -1,0 +1,53 @@
+import hashlib
+
+import numpy as np
+from brute import base_spans
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tracewinnow.llm import pii
+
+
+def test_against_brute_force(odd, odd_rows, small):
+    for df in (odd, small):
+        texts = {(r.doc_id, (r.text or "")): base_spans(r.text or "") for r in df.collect()}
+        want = sorted(hashlib.sha256(",".join(s).encode()).hexdigest() for s in (base_spans(r.text or "") for r in df.collect()))
+        got = pii.pii_digest(df).collect()
+        assert sorted(r.base_sha256 for r in got) == want and texts
+        for r in got:
+            kinds = [s.split(":")[0] for s in r.spans.split(",") if s]
+            base = [k for k in kinds if k in pii.BASE_KINDS]
+            assert [base.count(k) for k in pii.BASE_KINDS] == [r.n_email, r.n_ip, r.n_card, r.n_phone]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1234567890.@+-() %_é\n", max_size=80))
+def test_patterns_on_any_text(text):
+    islands = [m.span() for m in pii.ISLAND.finditer(text)]
+    assert [f"{k}:{a}:{b}" for k, a, b in pii.base_spans(text, islands)] == base_spans(text)
+
+
+def test_secrets_are_found_and_decoys_left(spark):
+    secret = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(i, f'set token = "{secret[i:]}{secret[:i]}" here') for i in range(20)] + [(i + 50, f"password={secret[i:]}{secret[:i]} x") for i in range(20)] + [(100, "chapter 12345678901234567 and 4111111111111112 follow in part2of3sections")]
+    got = {r.doc_id: r.spans for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("secret:" in s for i, s in got.items() if i < 100) and got[100] == ""
+
+
+def test_expectation_maximisation():
+    """Two good labelers and one that answers at random: the estimate follows the good ones."""
+    patterns = [a + b + c for a in "+-" for b in "+-" for c in "+-"]
+    truth = np.array([p[:2].count("+") for p in patterns])
+    counts = np.where(truth == 1, 2.0, 40.0)
+    p = pii.estimate(patterns, counts)
+    assert all(p[truth == 2] > 0.8) and all(p[truth == 0] < 0.2)
+
+
+def test_contract(agree):
+    agree(pii.pii_digest)
+
+
+def test_long_runs_take_linear_time():
+    text = "1" * 50_000 + " " + "a" * 50_000 + "@" * 1000 + "+1 " * 10_000
+    islands = [m.span() for m in pii.ISLAND.finditer(text)]
+    assert pii.base_spans(text, islands) == []

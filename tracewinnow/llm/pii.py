@@ -122,7 +122,7 @@ def secret_votes(text: str, a: int, b: int) -> str:
     letters, kinds = sum(c.isalpha() for c in token), len(set(token))
     h = entropy(token[:200])
     votes = (
-        vote(bool(HEX.match(token)) and len(token) >= 24 or bool(re.match(r"[A-Za-z0-9_-]{24,}\Z", token)), "/" in token or "." in token),  # regular expression
+        vote(bool(HEX.match(token)) and len(token) >= 24 or bool(re.match(r"[A-Za-z0-9_-]{24,}\Z", token)), len(token) < 20 or "/" in token or "." in token),  # regular expression
         vote(name in SECRET_NAMES or token.startswith(KEY_PREFIXES), name in HARMLESS_NAMES),  # gazetteer
         vote(bool(SECRET_NAMES.intersection(near)), bool(HARMLESS_NAMES.intersection(near))),  # context
         vote(bool(m), not m and before[-1:].isspace()),  # context: an assignment

@@ -237,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, label:
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     sample = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")  # at most sample_rows ids
-    rows = with_statistics(texts).join(sample, "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = with_statistics(texts).select("doc_id", *STATS).join(sample, "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     return fit(rows[list(STATS)].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float), **options)
 
 
