@@ -66,11 +66,11 @@ def stream_of(rng: random.Random, traces: int, batch_count: int, controls: bool
     out = []
     for b in range(batch_count):
         for rs in range(rng.randint(1, 3)):
-            control = controls and rng.random() < 0.1
+            control, told = controls and rng.random() < 0.1, rng.random() < 0.5
             for i in range(rng.randint(1, 4)):
                 tid = f"{rng.randrange(traces):032x}"
                 if control:
-                    out.append(span(tid, "d", batch_seq=b, rs_idx=rs, span_idx=i, resource={DECISION: rng.random() < 0.5}))
+                    out.append(span(tid, "d", batch_seq=b, rs_idx=rs, span_idx=i, resource={DECISION: told}))
                     continue
                 start = rng.choice([0, rng.randint(1, 9)]) * 10**9
                 out.append(span(tid, f"{len(out):016x}", rng.choice(["0" * 16, tid[16:], "00000000000000aa"]), batch_seq=b, rs_idx=rs, scope_idx=rng.randint(0, 1), span_idx=i, resource={"service.name": f"s{rs}"}, start_ns=start, end_ns=start + rng.randint(0, 9) * 10**9, status=rng.choice(["OK", "ERROR", "UNSET"]), attrs={"sampling.tail.threshold": rng.choice(["0x8", "0xf", "0x", "x"])} if rng.random() < 0.2 else {}))
