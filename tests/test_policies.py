@@ -184,7 +184,7 @@ def test_sampling_rates(spark):
     r = random.Random(1)
     n = 100_000
     trace_ids = [f"{r.getrandbits(128):032x}" for _ in range(n)]
-    df = spark.createDataFrame([(t,) for t in trace_ids], "trace_id string")
+    df = ids.with_hash64(spark.createDataFrame([(t,) for t in trace_ids], "trace_id string"), {salt for _, salt, _ in RATES})
     cols = [Probabilistic(salt, pct).decision("x").alias(f"c{i}") for i, (pct, salt, _) in enumerate(RATES)]
     rows = df.select("trace_id", *cols).toPandas()
     for i, (pct, salt, want) in enumerate(RATES):

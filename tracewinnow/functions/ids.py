@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from fractions import Fraction
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: FNV-1a parameters and the seeds put before an id.  Fixed values.
@@ -46,24 +47,33 @@ def id_bytes(trace_id: Column) -> Column:
     return F.array(*[F.shiftrightunsigned(h, s).bitwiseAND(F.lit(255).cast("long")) for h in (high, low) for s in range(56, -8, -8)])
 
 
-def hash64(trace_id: Column, salt: str = "") -> Column:
-    """Unsigned FNV-1a 64 of salt and id, held in a signed long.
+def hash_column(salt: str = "") -> str:
+    """The name of the column that :func:`with_hash64` adds for a salt."""
+    return f"_hash_{fnv64((salt or DEFAULT_SALT).encode()):016x}"
 
-    The salt is folded on the driver.  The prime is 2**40 + 0x1b3, so a step is
-    done on two halves of 32 bits without overflow.
-    """
-    start = fnv64((salt or DEFAULT_SALT).encode())
-    mask = F.lit(M32).cast("long")
 
-    def step(acc: Column, byte: Column) -> Column:
-        low = acc["lo"].bitwiseXOR(byte)
-        product = low * 0x1B3
-        carry = F.shiftrightunsigned(product, 32)
-        high = (acc["hi"] * 0x1B3 + carry + F.shiftleft(low, 8)).bitwiseAND(mask)
-        return F.struct(high.alias("hi"), product.bitwiseAND(mask).alias("lo"))
+def with_hash64(df: DataFrame, salts: Iterable[str] = ("",), trace_id: str = "trace_id") -> DataFrame:
+    """Adds the unsigned FNV-1a 64 of salt and id, held in a signed long, for each salt.
 
-    first = F.struct(F.lit(start >> 32).cast("long").alias("hi"), F.lit(start & M32).cast("long").alias("lo"))
-    return F.aggregate(id_bytes(trace_id), first, step, lambda acc: F.shiftleft(acc["hi"], 32).bitwiseOR(acc["lo"]))
+    The salt is folded on the driver.  The prime is 2**40 + 0x1b3, so a step is
+    done on two halves of 32 bits without overflow.  Each byte is a projection of
+    its own: the optimizer leaves them apart, since each value is used more
+    than once, and they stay within one generated loop.
+    """
+    names = {hash_column(s): fnv64((s or DEFAULT_SALT).encode()) for s in salts}
+    if not names:
+        return df
+    quoted = ", ".join(f"`{c}`" for c in df.columns)
+    own = [f"{n}_{part}" for n in names for part in ("hi", "lo")]
+    rows = f"SELECT {quoted}, CAST(conv(substring(`{trace_id}`, 1, 16), 16, -10) AS BIGINT) AS _h0, CAST(conv(substring(`{trace_id}`, 17, 16), 16, -10) AS BIGINT) AS _h1"
+    rows += "".join(f", {x >> 32}L AS {n}_hi, {x & M32}L AS {n}_lo" for n, x in names.items()) + " FROM {source}"
+    for i in range(16):
+        byte = f"(shiftrightunsigned(_h{i // 8}, {56 - 8 * (i % 8)}) & 255L)"
+        mixed = "".join(f", {n}_lo ^ {byte} AS {n}_x" for n in names)
+        rows = f"SELECT {quoted}, _h0, _h1, {', '.join(own)}{mixed} FROM ({rows})"
+        step = "".join(f", ({n}_hi * 435L + shiftrightunsigned({n}_x * 435L, 32) + shiftleft({n}_x, 8)) & {M32}L AS {n}_hi, ({n}_x * 435L) & {M32}L AS {n}_lo" for n in names)
+        rows = f"SELECT {quoted}, _h0, _h1{step} FROM ({rows})"
+    return df.sparkSession.sql(f"SELECT {quoted}" + "".join(f", shiftleft({n}_hi, 32) | {n}_lo AS {n}" for n in names) + f" FROM ({rows})", source=df)
 
 
 def shard(trace_id: Column, shards: int) -> Column:

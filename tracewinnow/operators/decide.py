@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import ids
 from ..model import DECISIVE
 from .policies import Downgrader, Named
 from .units import units
@@ -45,6 +46,7 @@ def remembers_low(policies: list[Named]) -> bool:
 def evaluated(spans: DataFrame, policies: list[Named], zero_starts: bool = True) -> DataFrame:
     """Units with the decision of every policy, ``_d0``, ``_d1``, ..., before any is hidden."""
     rows = running(units(spans, policies, zero_starts))
+    rows = ids.with_hash64(rows, sorted({s for p in policies for s in p.policy.salts()}))
     return rows.withColumns({f"_d{i}": p.policy.decision(f"_p{i}_") for i, p in enumerate(policies)}) if policies else rows
 
 
@@ -65,7 +67,7 @@ def _by_window(rows: DataFrame, policies: list[Named]) -> DataFrame:
 def _by_fold(rows: DataFrame, policies: list[Named]) -> DataFrame:
     names = F.array(*[F.lit(p.name) for p in policies])
     vector = F.array(*[F.col(f"_d{i}") for i in range(len(policies))])
-    keep = [c for c in rows.columns if not c.startswith("_d") and c != "trace_id"]
+    keep = [c for c in rows.columns if not c.startswith(("_d", "_hash_")) and c != "trace_id"]
     unit = F.struct(F.struct(*ORDER).alias("at"), vector.alias("vec"), F.struct(*keep).alias("row"))
     earlier = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
     traces = rows.groupBy("trace_id").agg(F.array_sort(F.collect_list(unit), earlier).alias("history"))

@@ -46,6 +46,10 @@ class Policy:
         """Aggregates over a unit's spans, by column names that start with ``key``."""
         return {}
 
+    def salts(self) -> set[str]:
+        """Salts of the trace-id hashes that ``decision`` reads."""
+        return set()
+
     def decision(self, key: str) -> Column:
         raise NotImplementedError
 
@@ -88,7 +92,10 @@ class Probabilistic(Policy):
     percentage: float = 0.0
 
     def decision(self, key):
-        return when_sampled(ids.at_most(ids.hash64(F.col("trace_id"), self.salt), ids.sampling_threshold(self.percentage)))
+        return when_sampled(ids.at_most(F.col(ids.hash_column(self.salt)), ids.sampling_threshold(self.percentage)))
+
+    def salts(self):
+        return {self.salt}
 
     def evaluate(self, unit):
         h = ids.fnv64((self.salt or ids.DEFAULT_SALT).encode() + bytes.fromhex(unit.trace_id))
@@ -125,6 +132,9 @@ class RemoteProbabilistic(Policy):
             return self.default, True
         return (self.default, True) if rate < 0 else (rate, False)
 
+    def salts(self):
+        return {self.salt}
+
     def decision(self, key):
         return Probabilistic(self.salt, self.rate()[0]).decision(key)
 
@@ -242,6 +252,9 @@ class And(Policy):
 
     subs: tuple[Policy, ...]
 
+    def salts(self):
+        return {x for s in self.subs for x in s.salts()}
+
     def aggregates(self, key):
         return {n: c for i, s in enumerate(self.subs) for n, c in s.aggregates(f"{key}{i}_").items()}
 
@@ -283,6 +296,9 @@ class RootSpans(Policy):
 
     sub: Policy
 
+    def salts(self):
+        return self.sub.salts()
+
     def aggregates(self, key):
         first = F.min_by(F.struct(ids.is_root(F.col("trace_id"), F.col("parent_span_id")).alias("root")), F.struct("scope_idx", "span_idx"))["root"]
         return {f"{key}root": first, **self.sub.aggregates(f"{key}0_")}
@@ -319,6 +335,9 @@ class Downgrader(Policy):
     def __post_init__(self):
         Decision.parse(self.to)
 
+    def salts(self):
+        return self.sub.salts()
+
     def aggregates(self, key):
         return self.sub.aggregates(f"{key}0_")
 

@@ -57,7 +57,8 @@ def traces(spark, sf_dir):
 
 
 def hash_fnv64(spark, sf_dir):
-    return traces(spark, sf_dir).select("trace_id", hex64(ids.hash64(F.col("trace_id"))).alias("hash"), hex64(ids.hash64(F.col("trace_id"), "test-salt")).alias("salted"))
+    rows = ids.with_hash64(traces(spark, sf_dir), ("", "test-salt"))
+    return rows.select("trace_id", hex64(ids.hash_column()).alias("hash"), hex64(ids.hash_column("test-salt")).alias("salted"))
 
 
 def shard_fnv32(spark, sf_dir):
