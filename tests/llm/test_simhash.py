@@ -34,14 +34,18 @@ def test_components(odd, small):
 def test_tables_share_a_key_for_every_close_pair():
     """Also where the finer tables of a hot key take over."""
     r = random.Random(4)
-    masks = H.choices((1 << 64) - 1, H.BLOCKS, 3)
-    assert len(masks) == 20
-    for _ in range(500):
-        flips = sum(1 << b for b in r.sample(range(64), 3))
-        for m in (m for m in masks if not flips & m):
-            assert any(not flips & f for f in H.choices((1 << 64) - 1 ^ m, H.PARTS, 3))
-        assert any(not flips & m for m in masks)
-    assert max(64 - (m | f).bit_count() for m in masks for f in H.choices((1 << 64) - 1 ^ m, H.PARTS, 3)) <= 9
+    every = (1 << 64) - 1
+    for bits, tables in ((3, 20), (6, 84)):
+        masks = H.choices(every, H.blocks_for(bits), bits)
+        assert len(masks) == tables
+        for _ in range(100):
+            flips = sum(1 << b for b in r.sample(range(64), bits))
+            shared = [m for m in masks if not flips & m]
+            assert shared
+            for m in shared:
+                assert any(not flips & f for f in H.choices(every ^ m, H.parts_for(bits), bits))
+    masks = H.choices(every, H.blocks_for(3), 3)
+    assert max(64 - (m | f).bit_count() for m in masks for f in H.choices(every ^ m, H.parts_for(3), 3)) <= 9
 
 
 def fps_around(rng, centres, each, far):
@@ -79,11 +83,52 @@ def test_long_chain(spark):
     assert got == {i: 0 for i in range(1, n)}
 
 
+def jaccard(a, b, k=5):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or {" ".join(w)})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def family(seed):
+    """Copies of a few texts with some words changed."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(25):
+        own = [word() for _ in range(250)]
+        texts.append(" ".join(own))
+        for _ in range(3):
+            copy = list(own)
+            for _ in range(r.choice([1, 3, 6, 12])):
+                copy[r.randrange(250)] = word()
+            texts.append(" ".join(copy))
+    return dict(enumerate(texts))
+
+
+def test_wider_links(spark):
+    """3 bits link, and up to 6 bits if the shingles are alike; against all pairs."""
+    texts = family(1)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    fp = {i: fingerprint(t) for i, t in texts.items()}
+
+    def linked(i, j):
+        d = (fp[i] ^ fp[j]).bit_count()
+        return d <= 3 or d <= 6 and jaccard(texts[i], texts[j]) >= 0.8
+
+    want = roots(sorted(texts), linked)
+    got = {r.doc_id: r.component_id for r in H.near_duplicates(df, wider_bits=6).collect()}
+    assert got == want and len(set(got.values())) < len({r.component_id for r in H.near_duplicates(df).collect()})
+    assert sorted(r.doc_id for r in H.keep_one(df).collect()) == sorted(set(want.values()))
+
+
 def test_keep_one(odd):
-    kept = H.keep_one(odd)
+    kept = H.keep_one(odd, wider_bits=0)
     assert kept.columns == odd.columns
     labels = {(r.doc_id, r.component_id) for r in H.near_duplicates(odd).collect()}
     assert {r.doc_id for r in kept.collect()} == {None} | {d for d, c in labels if d is not None and all(c2 >= d2 for d2, c2 in labels if d2 == d)}
+    assert H.keep_one(odd).count() <= kept.count()
 
 
 def test_contract(agree):

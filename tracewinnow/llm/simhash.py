@@ -1,23 +1,28 @@
 """SimHash near-duplicates: fingerprints, pigeonhole blocks, verified Hamming distance, components.
 
-Fingerprints that differ in at most ``BITS`` bits agree on at least ``BLOCKS -
-BITS`` of ``BLOCKS`` blocks of the 64 bits.  For each choice of that many
-blocks there is a table keyed by the chosen bits; close pairs share a key in
-some table, and every pair found there is verified.
+Fingerprints that differ in at most ``bits`` bits agree on all but ``bits`` of
+the blocks that the 64 bits are split into.  For each choice of the blocks that
+agree there is a table keyed by their bits; close pairs share a key in some
+table, and every pair found there is verified.
 
 Only distinct fingerprints enter, so copies cost nothing.  A key that more than
-``WIDE`` of them share isn't compared as a group: they agree on the table's
-bits, so close ones also agree on 8 of 11 parts of the bits left, and they are
-keyed again by those.  That leaves at most 9 free bits, hence at most 512
-fingerprints in a group, however many there are.  Within a group, links are
-reduced to a spanning star of each connected part, so what is emitted is
-linear in the group.
+``WIDE`` of them share isn't compared as a group: they agree on the key's bits,
+so the bits left are split in parts, close pairs agree on all but ``bits`` of
+those too, and they are keyed again, until few bits are left.  With 3 bits this
+leaves at most 9 free bits, hence at most 512 fingerprints in a group, however
+many there are.  Within a group, links are reduced to a spanning tree of each
+connected part, so what is emitted is linear in the group.
+
+:func:`near_duplicates` links by the fingerprints alone.  :func:`keep_one` also
+links fingerprints that are somewhat farther apart if the texts' shingles prove
+similar enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, utf8
 
 BITS = 3
-BLOCKS, PARTS = 6, 11
 WIDE = 4096
+#: Keys with at most so many free bits aren't split further.
+FEW_BITS = 13
 #: Groups up to this size are compared shift by shift over a whole batch.
 SMALL = 16
 SEED = 42
@@ -78,24 +84,35 @@ def choices(mask: int, parts: int, differ: int) -> list[int]:
     return [sum(c) for c in combinations(split_mask(mask, parts), parts - differ)]
 
 
+def blocks_for(bits: int) -> int:
+    """Blocks of the tables: 3 agree, or for few bits as many as differ; keys have 21 bits or more."""
+    return bits + 3
+
+
+def parts_for(bits: int) -> int:
+    """The most parts with at most 200 ways in which ``bits`` of them differ."""
+    return max(p for p in range(bits + 1, 30) if comb(p, bits) <= 200)
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def star(ids: np.ndarray, fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Edges from the smallest id of each connected part of a group to its other members."""
+def tree(ids: np.ndarray, fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Close pairs that span each connected part of a group."""
     out, left = [], np.arange(len(ids))
     while len(left):
-        part, front, left = [left[:1]], left[:1], left[1:]
+        front, left = left[:1], left[1:]
         while len(front) and len(left):
-            near = np.zeros(len(left), dtype=bool)
+            by = np.full(len(left), -1)
             for i in range(0, len(front), 64):
-                near |= (np.bitwise_count(fps[front[i : i + 64], None] ^ fps[left][None]) <= bits).any(0)
-            front, left = left[near], left[~near]
-            part.append(front)
-        own = np.sort(ids[np.concatenate(part)])
-        out += [(int(own[0]), int(x)) for x in own[1:]]
-    return out
+                near = np.bitwise_count(fps[front[i : i + 64], None] ^ fps[left][None]) <= bits
+                hit = near.any(0) & (by < 0)
+                by[hit] = front[i : i + 64][near.argmax(0)[hit]]
+            found = by >= 0
+            out += zip(ids[by[found]].tolist(), ids[left[found]].tolist())
+            front, left = left[found], left[~found]
+    return [(min(e), max(e)) for e in out]
 
 
 def pairs_in_groups(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -109,7 +126,7 @@ def pairs_in_groups(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, bits: in
         at = at[np.bitwise_count(fps[at] ^ fps[at + shift]) <= bits]
         edges.append(np.column_stack((np.minimum(ids[at], ids[at + shift]), np.maximum(ids[at], ids[at + shift]))))
     for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        found = star(ids[s : s + n], fps[s : s + n], bits)
+        found = tree(ids[s : s + n], fps[s : s + n], bits)
         edges.append(np.array(found, dtype=np.int64).reshape(-1, 2))
     return edges
 
@@ -144,34 +161,68 @@ def link(bits: int):
 
 def edges_of(reps: DataFrame, bits: int = BITS, wide: int = WIDE) -> DataFrame:
     """Verified links (a, b), a < b, that connect all rows (id, fp) of ``reps`` within ``bits``."""
-    masks = choices((1 << 64) - 1, BLOCKS, bits)
-    keyed = reps.select("id", "fp", F.posexplode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(signed(m)))) for t, m in enumerate(masks)])).alias("t", "key"))
-    hot = materialise(keyed.groupBy("key").count().filter(F.col("count") > wide).select("key"), "simhash-hot")
-    plain = keyed
-    out = []
-    if not hot.isEmpty():
-        plain = keyed.join(hot, "key", "left_anti")
-        finer = [choices((1 << 64) - 1 ^ m, PARTS, bits) for m in masks]
-
-        def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                t, ids, fps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "id", "fp"))
-                for table in np.unique(t).tolist():
-                    own = t == table
-                    for k, m in enumerate(finer[table]):
-                        mask = np.uint64(masks[table] | m)
-                        mixed = ((fps[own].view(np.uint64) & mask) + np.uint64(table * 1000 + k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-                        mixed ^= mixed >> np.uint64(29)
-                        yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(ids[own]), pa.array(fps[own])], names=["key", "id", "fp"])
-
-        fine = keyed.join(hot, "key", "left_semi").select("t", "id", "fp").mapInArrow(refine, "key long, id long, fp long")
-        out.append(fine)
-    out.append(plain.select("key", "id", "fp"))
-    linked = [o.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link(bits), "a long, b long") for o in out]
-    edges = linked[0] if len(linked) == 1 else linked[0].unionByName(linked[1])
+    masks = choices((1 << 64) - 1, blocks_for(bits), bits)
+    tables = F.array(*[F.struct(F.lit(signed(m)).alias("mask"), F.xxhash64(F.lit(signed(m)), F.col("fp").bitwiseAND(F.lit(signed(m)))).alias("key")) for m in masks])
+    keyed = reps.select("id", "fp", F.explode(tables).alias("t")).select("t.mask", "t.key", "id", "fp")
+    free = 64 - min(m.bit_count() for m in masks)
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finer: dict[int, list[int]] = {}
+        for batch in batches:
+            mask, ids, fps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "id", "fp"))
+            for known in np.unique(mask).tolist():
+                own, bits_known = mask == known, known % (1 << 64)
+                for more in finer.setdefault(known, choices((1 << 64) - 1 ^ bits_known, parts_for(bits), bits)):
+                    m = np.uint64(bits_known | more)
+                    x = (fps[own].view(np.uint64) & m) * np.uint64(0x9E3779B97F4A7C15) + m
+                    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), signed(int(m)))), pa.array((x ^ (x >> np.uint64(32))).view(np.int64)), pa.array(ids[own]), pa.array(fps[own])], names=["mask", "key", "id", "fp"])
+
+    parts = []
+    while True:
+        hot = materialise(keyed.groupBy("key").count().filter(F.col("count") > wide).select("key"), "simhash-hot")
+        if free <= FEW_BITS or hot.isEmpty():
+            parts.append(keyed)
+            break
+        parts.append(keyed.join(hot, "key", "left_anti"))
+        keyed = materialise(keyed.join(hot, "key", "left_semi").mapInArrow(refine, "mask long, key long, id long, fp long"), "simhash-finer")
+        free = -(-free * bits // parts_for(bits))
+    edges = None
+    for part in parts:
+        own = part.select("key", "id", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link(bits), "a long, b long")
+        edges = own if edges is None else edges.unionByName(own)
     return edges.distinct()
 
 
+def similar(docs: DataFrame, edges: DataFrame, similarity: float, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The links (a, b) whose texts' sets of word shingles have a Jaccard similarity of at least ``similarity``; lower case counts as upper."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = []
+            for text in utf8(batch.column("text")):
+                w = text.lower().split()
+                rows = [w[i : len(w) - shingle + 1 + i] for i in range(shingle)]
+                parts = list(map(b" ".join, zip(*rows))) if len(w) > shingle else [b" ".join(w)]
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], dtype=np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(nodes, "id", "left_semi")
+    sets = materialise(texts.mapInArrow(shingles, "id long, set binary").groupBy("id").agg(F.min("set").alias("set")), "simhash-shingles")
+    both = edges.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node and root, the smallest node that edges (a, b) reach from it, for every node that isn't a root.
 
@@ -194,25 +245,33 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = BITS, wider_bits: int = 0, similarity: float = 0.8, similar_shingle: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint and component_id.
 
     Fingerprints that differ in at most ``bits`` bits link; component_id is the
-    smallest id that links reach.  A null text counts as empty: fingerprint 0,
-    which links like any other.  Rows that repeat an id are fine.  A row without
-    an id takes the component of its fingerprint, which is null if no row with
-    an id has that fingerprint.  An empty table gives an empty result; other
-    columns are ignored.
+    smallest id that links reach.  With ``wider_bits``, fingerprints up to that
+    distance link too if the shingle sets of their first texts, of
+    ``similar_shingle`` words, have a Jaccard similarity of ``similarity``.
+
+    A null text counts as empty: fingerprint 0, which links like any other.
+    Rows that repeat an id are fine.  A row without an id takes the component of
+    its fingerprint, which is null if no row with an id has that fingerprint.
+    An empty table gives an empty result; other columns are ignored.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-rows")
     reps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL"), "simhash-reps")
-    roots = components(edges_of(reps, bits), "simhash-components")
+    edges = edges_of(reps, bits)
+    if wider_bits > bits:
+        wider = materialise(edges_of(reps, wider_bits), "simhash-wider")
+        edges = edges.unionByName(similar(docs, wider, similarity, similar_shingle, id_col, text_col)).distinct()
+    roots = components(edges, "simhash-components")
     reps = reps.join(roots, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return rows.join(reps, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, or have no id, with their columns."""
-    drop = materialise(near_duplicates(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct(), "simhash-drop")
+    """The rows of ``docs`` that are the first of their component, or have no id, with their columns; links are widened to 6 bits unless told otherwise."""
+    labels = near_duplicates(docs, **({"wider_bits": 6} | options))
+    drop = materialise(labels.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct(), "simhash-drop")
     id_col = options.get("id_col", "doc_id")
     return docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
