@@ -11,6 +11,7 @@ Decisions are the names of :class:`tracewinnow.model.Decision`.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
@@ -23,6 +24,8 @@ from ..config import Config, ConfigError, PolicyConfig
 from ..functions import conditions, ids
 from ..model import NO_PARENT, THRESHOLD, Decision
 
+log = logging.getLogger(__name__)
+
 SAMPLED, PENDING, LOW, UNSPECIFIED = "Sampled", "Pending", "LowPriority", "Unspecified"
 
 
@@ -65,6 +68,12 @@ class Policy:
         """Called for policies of the list itself, not for those inside others."""
 
 
+def service_names(spans: list[dict]) -> list[str]:
+    """Distinct service names, sorted; resources without one are skipped."""
+    found = {((s["resource_attrs"] or {}).get("service.name") or {}).get("s") for s in spans}
+    return sorted(x for x in found if x is not None)
+
+
 def when_sampled(condition: Column) -> Column:
     return F.when(condition, F.lit(SAMPLED)).otherwise(F.lit(PENDING))
 
@@ -155,7 +164,11 @@ class SpanCount(Policy):
         return when_sampled(F.col("cum_spans") >= self.min_spans)
 
     def evaluate(self, unit):
-        return (SAMPLED if unit.span_count >= self.min_spans else PENDING), False
+        if unit.span_count < self.min_spans:
+            return PENDING, False
+        if self.log_sampled:
+            log.info("trace sampled by span count: trace %s, %d spans, services %s", unit.trace_id, unit.span_count, service_names(unit.spans))
+        return SAMPLED, False
 
 
 @dataclass
