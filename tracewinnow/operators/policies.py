@@ -313,8 +313,9 @@ class RootSpans(Policy):
         return self.sub.salts()
 
     def aggregates(self, key):
-        first = F.min_by(F.struct(ids.is_root(F.col("trace_id"), F.col("parent_span_id")).alias("root")), F.struct("scope_idx", "span_idx"))["root"]
-        return {f"{key}root": first, **self.sub.aggregates(f"{key}0_")}
+        # read only where the trace has one span, which then is the unit's first
+        root = F.bool_or(ids.is_root(F.col("trace_id"), F.col("parent_span_id")))
+        return {f"{key}root": root, **self.sub.aggregates(f"{key}0_")}
 
     def decision(self, key):
         failed, sub = self.sub.failed(f"{key}0_"), self.sub.decision(f"{key}0_")
