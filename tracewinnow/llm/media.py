@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import map_batches, slices, utf8
 
 UNIT = 64
 RATE = 8000
@@ -180,7 +180,7 @@ def audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 names=["doc_id", "n_bytes", "payload", "media", "codec", "n_samples", "mean_size", "peak", "crossings", "pcm"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_batches, run, SCHEMA)
 
 
 def media_digest(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import map_batches, materialise, slices
 
 #: Kinds with fixed patterns, in their order; those of the classifier follow.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -199,7 +199,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 more.append([{"kind": k, "start": a, "end": b, "votes": v} for k, a, b, v in candidates(text, islands, own)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip((base, more), types))], names=["doc_id", "base", "candidates"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_batches, run, SCHEMA)
 
 
 # --- expectation-maximisation and the classifier -----------------------------

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, utf8
+from .common import map_batches, slices, utf8
 
 LOWER, UPPER, DIGIT, SPACE, LINE, STOP, SYMBOL, EXCLAIM, PIPE, LEAD, REST = range(11)
 
@@ -96,7 +96,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "") -
             stats = statistics(utf8(batch.column(text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(stats[:, k]) for k in range(len(STATS)))], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(map_batches, run, schema)
 
 
 @dataclass(frozen=True)

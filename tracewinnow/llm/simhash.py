@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, utf8
+from .common import map_batches, materialise, slices, utf8
 
 BITS = 3
 WIDE = 4096
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, shingle) for t in utf8(batch.column("text"))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_batches, run, "doc_id long, fp long")
 
 
 def split_mask(mask: int, parts: int) -> list[int]:
@@ -185,11 +185,11 @@ def edges_of(reps: DataFrame, bits: int = BITS, wide: int = WIDE) -> DataFrame:
             parts.append(keyed)
             break
         parts.append(keyed.join(hot, "key", "left_anti"))
-        keyed = materialise(keyed.join(hot, "key", "left_semi").mapInArrow(refine, "mask long, key long, id long, fp long"), "simhash-finer")
+        keyed = materialise(keyed.join(hot, "key", "left_semi").transform(map_batches, refine, "mask long, key long, id long, fp long"), "simhash-finer")
         free = -(-free * bits // parts_for(bits))
     edges = None
     for part in parts:
-        own = part.select("key", "id", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link(bits), "a long, b long")
+        own = part.select("key", "id", "fp").repartition("key").sortWithinPartitions("key", "fp").transform(map_batches, link(bits), "a long, b long")
         edges = own if edges is None else edges.unionByName(own)
     return edges.distinct()
 
@@ -198,7 +198,7 @@ def similar(docs: DataFrame, edges: DataFrame, similarity: float, shingle: int,
     """The links (a, b) whose texts' sets of word shingles have a Jaccard similarity of at least ``similarity``; lower case counts as upper."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             sets = []
             for text in utf8(batch.column("text")):
                 w = text.lower().split()
@@ -208,7 +208,7 @@ def similar(docs: DataFrame, edges: DataFrame, similarity: float, shingle: int,
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "x", 1 << 20):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -218,9 +218,9 @@ def similar(docs: DataFrame, edges: DataFrame, similarity: float, shingle: int,
 
     nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(nodes, "id", "left_semi")
-    sets = materialise(texts.mapInArrow(shingles, "id long, set binary").groupBy("id").agg(F.min("set").alias("set")), "simhash-shingles")
+    sets = materialise(texts.transform(map_batches, shingles, "id long, set binary").groupBy("id").agg(F.min("set").alias("set")), "simhash-shingles")
     both = edges.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "x", "y").transform(map_batches, compare, "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, slices
+from .common import map_batches, materialise, slices
 
 LENGTH, GRAM = 100, 20
 GRAMS = LENGTH - GRAM + 1
@@ -401,14 +401,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     last = (1 << 63) - 1
     placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
-    found = placed.select("doc", "tag", "text").mapInArrow(lambda it: find(it, locally_hot), "gram long, whole long, doc long, tag long, packed long")
-    decided = materialise(found.repartition("gram").sortWithinPartitions("gram", "whole", "doc", "tag", "packed").mapInArrow(decide, "fine long, gram long, doc long, tag long, packed long"), "substring-segments")
+    found = placed.select("doc", "tag", "text").transform(map_batches, lambda it: find(it, locally_hot), "gram long, whole long, doc long, tag long, packed long")
+    decided = materialise(found.repartition("gram").sortWithinPartitions("gram", "whole", "doc", "tag", "packed").transform(map_batches, decide, "fine long, gram long, doc long, tag long, packed long"), "substring-segments")
     del found
     release(spark)
 
     needed = decided.filter("fine > 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("gram", "fine", "packed")).alias("own"))
-    cut = placed.select("doc", "tag", "text").join(needed, ["doc", "tag"]).mapInArrow(cut_out, "gram long, fine long, doc long, tag long, packed long, bytes binary")
-    sorted_ = materialise(cut.repartition("gram").sortWithinPartitions("gram", "doc", "tag", "packed").mapInArrow(lambda it: sort_segments(it, chunk), "doc long, tag long, first long, n long, window binary"), "substring-windows")
+    cut = placed.select("doc", "tag", "text").join(needed, ["doc", "tag"]).transform(map_batches, cut_out, "gram long, fine long, doc long, tag long, packed long, bytes binary")
+    sorted_ = materialise(cut.repartition("gram").sortWithinPartitions("gram", "doc", "tag", "packed").transform(map_batches, lambda it: sort_segments(it, chunk), "doc long, tag long, first long, n long, window binary"), "substring-windows")
     del needed, cut
     release(spark)
 
@@ -417,7 +417,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     whole = decided.filter("fine = 0").select("doc", "tag", F.shiftright("packed", 18).alias("first"), F.shiftright("packed", 2).bitwiseAND(F.lit(255)).cast("long").alias("n"))
     gone = whole.unionByName(sorted_.filter("window IS NULL").select("doc", "tag", "first", "n")).unionByName(split)
     gone = gone.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "n")).alias("own"))
-    return placed.join(gone, ["doc", "tag"], "left").select("doc_id", "text", "own").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return placed.join(gone, ["doc", "tag"], "left").select("doc_id", "text", "own").transform(map_batches, remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:

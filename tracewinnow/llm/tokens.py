@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_batches, slices
 
 MARK = "▁"
 INF = float("inf")
 #: Words whose paths, and neighbours whose standing, a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 NORMAL, BYTE, UNIGRAM = 1, 6, 1
 
 
@@ -248,7 +248,7 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
             decoded = [t.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), ids, pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_batches, run, SCHEMA)
 
 
 def token_digest(docs: DataFrame, model_path: str | None = None) -> DataFrame:
