@@ -181,5 +181,5 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     took = mix(docs, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
     took = materialise(took, "mix-copies")
     id_col = options.get("id_col", "doc_id")
-    out = docs.join(took, docs[id_col].eqNullSafe(took["__id"]))
+    out = docs.join(took.hint("merge"), docs[id_col].eqNullSafe(took["__id"]))  # grows with the documents, so it's never broadcast
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
