@@ -228,15 +228,23 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternates small stars (each node's smaller neighbours move to the smallest
     of them) and large stars (its larger neighbours do), which ends in one star
-    for each component after few rounds.  Each round is a written table.
+    for each component after few rounds.  Each half of a round is a written
+    table, and so are the smallest neighbours: the edges of a node with very
+    many then meet their table in a join of two shuffles, which adaptive
+    execution splits.
     """
+
+    def lowest(edges: DataFrame) -> DataFrame:
+        return materialise(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+
     stars = materialise(edges.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), name)
     before = None
     while True:
-        low = stars.groupBy("u").agg(F.min("v").alias("m"))
+        low = lowest(stars)
         small = stars.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        small = materialise(small, name)
         both = small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = lowest(both)
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         stars = materialise(large, name)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
