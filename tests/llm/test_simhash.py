@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from brute import fingerprint, roots
 
 from tracewinnow.llm import simhash as H
@@ -120,6 +121,42 @@ def test_wider_links(spark):
     assert sorted(r.doc_id for r in H.keep_one(df).collect()) == sorted(set(want.values()))
 
 
+def test_wider_links_among_dissimilar_hubs(spark):
+    """Pairs of near copies amid many texts that are as close to both, but not similar: more than a small group has."""
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+
+    def changed(own, n):
+        copy = list(own)
+        for i in r.sample(range(len(own)), n):
+            copy[i] = word()
+        return copy
+
+    base, texts = [word() for _ in range(1500)], []
+    for _ in range(60):
+        one = changed(base, 30)
+        texts += [" ".join(one), " ".join(changed(one, 25))]
+    fp = [fingerprint(t) for t in texts]
+
+    def linked(i, j):
+        d = (fp[i] ^ fp[j]).bit_count()
+        return d <= 3 or d <= 6 and jaccard(texts[i], texts[j]) >= 0.8
+
+    want = roots(range(len(texts)), linked)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in H.near_duplicates(df, wider_bits=6).collect()} == want
+
+
+def test_large_groups_are_tried_whole():
+    """No pair of other labels in a group of any size is left out, also across batches; stars are linear."""
+    n = 50
+    cols = [np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64), np.full(n, 9), np.arange(n) // 2]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 7]) for c in cols], names=["key", "id", "fp", "n", "label"]) for i in range(0, n, 7)]
+    found = lambda stars: sorted((a, b) for x in H.unlinked(6, 0.8, stars)(iter(batches)) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist()))
+    assert found(False) == [(i, j) for i in range(n) for j in range(i + 1, n) if i // 2 != j // 2]
+    assert len(found(True)) == n - 2
+
+
 def test_keep_one(odd):
     kept = H.keep_one(odd, wider_bits=0)
     assert kept.columns == odd.columns

@@ -14,8 +14,11 @@ many there are.  Within a group, links are reduced to a spanning tree of each
 connected part, so what is emitted is linear in the group.
 
 :func:`near_duplicates` links by the fingerprints alone.  :func:`keep_one` also
-links fingerprints that are somewhat farther apart if the texts' shingles prove
-similar enough.
+links texts whose fingerprints are farther apart if their shingles prove similar
+enough.  Those candidates come from MinHash bands over the texts' own shingle
+sets: a pair with a similarity of 0.8 shares a band with a probability of
+0.999997, more similar ones with a higher one.  A band's group is first tried
+along stars, then in all pairs that no verified link joins.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ FEW_BITS = 13
 #: Groups up to this size are compared shift by shift over a whole batch.
 SMALL = 16
 SEED = 42
+#: MinHash bands of a shingle set, and hashes in each.
+BANDS, ROWS = 24, 4
+FACTORS = np.random.default_rng(SEED).integers(1 << 31, dtype=np.uint32, size=BANDS * ROWS) * np.uint32(2) + np.uint32(1)
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -72,6 +78,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_batches, run, "doc_id long, fp long")
 
 
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of the word shingles, sorted; fewer words are one shingle."""
+    w = text.lower().split()
+    rows = [w[i : len(w) - shingle + 1 + i] for i in range(shingle)]
+    parts = list(map(b" ".join, zip(*rows))) if len(w) > shingle else [b" ".join(w)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], dtype=np.uint64))
+
+
+def band_keys(own: np.ndarray) -> list[int]:
+    """A signed key for each MinHash band of a shingle set."""
+    x = (own ^ (own >> np.uint64(32))).astype(np.uint32)
+    low = np.full(BANDS * ROWS, np.uint32(0xFFFFFFFF))
+    for i in range(0, len(x), 512):
+        low = np.minimum(low, np.multiply.outer(FACTORS, x[i : i + 512]).min(1))
+    return [signed(xxhash.xxh64_intdigest(b.tobytes(), i)) for i, b in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def bands(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", fp_shingle: int = 3) -> DataFrame:
+    """id, fp, n (size of the set of shingles) and the keys of its bands, of every row of ``docs`` with an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = utf8(batch.column("text"))
+            sets = [shingle_set(t, shingle) for t in texts]
+            fp = np.array([fingerprint(t, fp_shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], names=["id", "fp", "n", "keys"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    return rows.transform(map_batches, run, "id long, fp long, n long, keys array<long>")
+
+
 def split_mask(mask: int, parts: int) -> list[int]:
     """The bits of ``mask`` in ``parts`` masks of nearly equal size."""
     bits = [b for b in range(64) if mask >> b & 1]
@@ -131,30 +168,70 @@ def pairs_in_groups(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, bits: in
     return edges
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows that are sorted by the first; never part of a group."""
+    held: list[list[np.ndarray]] = []  # the rows of the last key so far
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if held and now[0][-1] == held[-1][0][-1]:
+            held.append(now)
+            continue
+        now = [np.concatenate(x) for x in zip(*held, now)]
+        last = int(np.searchsorted(now[0], now[0][-1], "left"))
+        if last:
+            yield [x[:last] for x in now]
+        held = [[x[last:] for x in now]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def link(bits: int):
     """Over rows (key, id, fp) sorted by key: verified edges (a, b), a < b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def emit(keys, ids, fps):
+        for keys, ids, fps in whole_groups(batches, ("key", "id", "fp")):
             edges = [e for e in pairs_in_groups(keys, ids, fps.view(np.uint64), bits) if len(e)]
             if edges:
                 both = np.unique(np.concatenate(edges), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "fp")]
-            if held:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            last = int(np.searchsorted(now[0], now[0][-1], "left"))
-            if last:
-                yield from emit(*(x[:last] for x in now))
-            held = [x[last:] for x in now]
-        if held:
-            yield from emit(*held)
+    return run
+
+
+def unlinked(bits: int, similarity: float, stars: bool):
+    """Over rows (key, id, fp, n, label) sorted by key: pairs (a, b), a < b, of other labels that may be similar.
+
+    All pairs of each group are tried; with ``stars``, in groups of over
+    ``SMALL`` rows only those with one member, another for each key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids, fps, n, label in whole_groups(batches, ("key", "id", "fp", "n", "label")):
+            fps = fps.view(np.uint64)
+
+            def tried(i, j):
+                ok = (label[i] != label[j]) & (ids[i] != ids[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (np.bitwise_count(fps[i] ^ fps[j]) <= bits)
+                i, j = ids[np.broadcast_to(i, ok.shape)[ok]], ids[j[ok]]  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+
+            start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            size = np.diff(np.concatenate((start, [len(keys)])))
+            of = np.repeat(size, size)
+            for shift in range(1, int(min(SMALL, size.max()))):
+                at = np.flatnonzero((keys[shift:] == keys[:-shift]) & (of[shift:] <= SMALL))
+                yield tried(at, at + shift)
+            for s, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
+                own = np.arange(s, s + m)
+                if (label[own] == label[s]).all():
+                    continue
+                if stars:
+                    x = (ids[own] ^ keys[own]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    yield tried(own[(x ^ (x >> np.uint64(32))).argmin()], own)
+                else:
+                    for i in own[:-1]:
+                        yield tried(i, np.arange(i + 1, s + m))
 
     return run
 
@@ -199,12 +276,7 @@ def similar(docs: DataFrame, edges: DataFrame, similarity: float, shingle: int,
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
-            sets = []
-            for text in utf8(batch.column("text")):
-                w = text.lower().split()
-                rows = [w[i : len(w) - shingle + 1 + i] for i in range(shingle)]
-                parts = list(map(b" ".join, zip(*rows))) if len(w) > shingle else [b" ".join(w)]
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], dtype=np.uint64)).tobytes())
+            sets = [shingle_set(text, shingle).tobytes() for text in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +290,7 @@ def similar(docs: DataFrame, edges: DataFrame, similarity: float, shingle: int,
 
     nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(nodes, "id", "left_semi")
-    sets = materialise(texts.transform(map_batches, shingles, "id long, set binary").groupBy("id").agg(F.min("set").alias("set")), "simhash-shingles")
+    sets = materialise(texts.transform(map_batches, shingles, "id long, set binary").distinct(), "simhash-shingles")
     both = edges.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", "x", "y").transform(map_batches, compare, "a long, b long")
 
@@ -253,12 +325,38 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = now
 
 
+def wider_links(docs: DataFrame, reps: DataFrame, edges: DataFrame, bits: int, similarity: float, similar_shingle: int, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """Links (a, b) of texts within ``bits`` that are similar, as far as ``edges`` over ``reps`` (fp, id) don't join them yet.
+
+    First the stars of each band's group; what they join needs no more
+    comparison, so that a large group of near copies costs little.  Then all
+    pairs of the large groups that are still apart.
+    """
+    rows = materialise(bands(docs, similar_shingle, id_col, text_col, shingle), "simhash-bands")
+    own = rows.select("id", "fp").join(reps.select("fp", F.col("id").alias("rep")), "fp").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    links = None
+    for stars in (True, False):
+        roots = components(edges, "simhash-roots")
+        labels = reps.join(roots, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("label"))
+        keyed = rows.join(labels, "fp").select(F.explode("keys").alias("key"), "id", "fp", "n", "label")
+        pairs = keyed.repartition("key").sortWithinPartitions("key").transform(map_batches, unlinked(bits, similarity, stars), "a long, b long").distinct()
+        if links is not None:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "simhash-wider")
+        found = materialise(similar(docs, pairs, similarity, similar_shingle, id_col, text_col), "simhash-similar")
+        ends = found.select(F.explode(F.array("a", "b")).alias("b")).distinct()
+        found = found.unionByName(own.join(ends, "b", "left_semi").select("a", "b"))
+        before, links = pairs, found if links is None else links.unionByName(found)
+        edges = materialise(edges.unionByName(found).distinct(), "simhash-edges")
+    return links
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = BITS, wider_bits: int = 0, similarity: float = 0.8, similar_shingle: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint and component_id.
 
     Fingerprints that differ in at most ``bits`` bits link; component_id is the
     smallest id that links reach.  With ``wider_bits``, fingerprints up to that
-    distance link too if the shingle sets of their first texts, of
+    distance link too if the shingle sets of their texts, of
     ``similar_shingle`` words, have a Jaccard similarity of ``similarity``.
 
     A null text counts as empty: fingerprint 0, which links like any other.
@@ -270,8 +368,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL"), "simhash-reps")
     edges = edges_of(reps, bits)
     if wider_bits > bits:
-        wider = materialise(edges_of(reps, wider_bits), "simhash-wider")
-        edges = edges.unionByName(similar(docs, wider, similarity, similar_shingle, id_col, text_col)).distinct()
+        edges = materialise(edges, "simhash-edges")
+        edges = edges.unionByName(wider_links(docs, reps, edges, wider_bits, similarity, similar_shingle, id_col, text_col, shingle)).distinct()
     roots = components(edges, "simhash-components")
     reps = reps.join(roots, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return rows.join(reps, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
