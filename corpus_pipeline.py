@@ -23,8 +23,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of close fingerprints."""
-    return simhash.keep_one(docs)
+    """The first document of each component of close fingerprints, or of similar texts however far their fingerprints are."""
+    return simhash.keep_one(docs, wider_bits=64)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

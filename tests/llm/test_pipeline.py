@@ -1,8 +1,8 @@
 import re
 
 import corpus_pipeline
-from brute import fingerprint
-from test_simhash import jaccard
+from brute import fingerprint, roots
+from test_simhash import family, jaccard
 
 from tracewinnow.llm import mixing, quality, queries, tokens
 from tracewinnow.llm.common import materialise, table
@@ -47,6 +47,16 @@ def test_stages_against_brute_force(spark):
     assert len(rows) == len(after) and all(t.decode(list(r.ids)) == before[r.doc_id] and r.n_tokens == len(r.ids) for r in rows)
 
 
+def test_near_copies_at_any_distance(spark):
+    """The stage leaves no two texts with a similarity of 0.8, also where fingerprints differ in more than 6 bits."""
+    texts = family(1)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    fp = {i: fingerprint(t) for i, t in texts.items()}
+    linked = lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 3 or jaccard(texts[i], texts[j]) >= 0.8
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, df, SF).collect())
+    assert kept == sorted(set(roots(sorted(texts), linked).values()))
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
