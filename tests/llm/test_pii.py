@@ -51,3 +51,15 @@ def test_long_runs_take_linear_time():
     text = "1" * 50_000 + " " + "a" * 50_000 + "@" * 1000 + "+1 " * 10_000
     islands = [m.span() for m in pii.ISLAND.finditer(text)]
     assert pii.base_spans(text, islands) == []
+
+
+def found(text):
+    islands = [m.span() for m in pii.ISLAND.finditer(text)]
+    return [text[a:b] for kind, a, b, _ in pii.candidates(text, islands, pii.base_spans(text, islands)) if kind == "number"]
+
+
+def test_numbers_beside_others_are_candidates():
+    for texts in (["123-45-6789", "987-65-4322"], ["555-123-4567", "555-987-6543"], ["(555) 123-4567", "(555) 987-6543"], [f"555-123-45{i}" for i in range(10, 30)]):
+        assert found("call " + " ".join(texts) + " now") == texts
+    assert found("12 123-45-6789") == found("123-45-6789 10.0.0.1") == found("10.0.0.1 123-45-6789") == found("part2 123-45-6789") == ["123-45-6789"]
+    assert found("no 1234567 8") == ["1234567 8"]

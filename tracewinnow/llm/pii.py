@@ -100,6 +100,8 @@ HARMLESS_NAMES = frozenset(["sha", "sha1", "sha256", "md5", "commit", "hash", "c
 NUMBER_WORDS = frozenset(["phone", "tel", "telephone", "mobile", "cell", "call", "fax", "ssn", "social", "passport", "account", "iban"])
 PHONE_SHAPE = re.compile(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}\Z")
 IDENTITY_SHAPE = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}\Z")
+#: Either shape within an island.
+NUMBER = re.compile(r"(?<![0-9])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z_])")
 HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
 WORD_BEFORE = re.compile(r"[A-Za-z]+")
 
@@ -146,12 +148,29 @@ def number_votes(text: str, a: int, b: int) -> str:
     return "number" + "".join(votes) + f"{min(9, n // 2)}{int(any(c in token for c in ' -()'))}"
 
 
+def numbers(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Each telephone and identity shape of a stretch, and what of seven digits or more is left between them."""
+    at = a
+    for m in [*NUMBER.finditer(text, a, b), None]:
+        start, end = at, m.start() if m else b
+        while start < end and not text[start].isdigit() and text[start] not in "+(":
+            start += 1
+        while end > start and not text[end - 1].isdigit():
+            end -= 1
+        if len(digits_of(text[start:end])) >= 7:
+            yield start, end
+        if m:
+            yield m.span()
+            at = m.end()
+
+
 def candidates(text: str, islands: list[tuple[int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
-    """Candidates (kind, start, end, votes) around digits, outside base spans; at most one for a stretch of text."""
+    """Candidates (kind, start, end, votes) around digits, outside base spans and each other."""
     out, done, k = [], 0, 0
     for a, b in islands:
-        if a < done:
+        if b <= done:
             continue
+        a = max(a, done)
         lo = a
         while lo > done and text[lo - 1] in TOKEN_CHARS:
             lo -= 1
@@ -162,21 +181,20 @@ def candidates(text: str, islands: list[tuple[int, int]], taken: list[tuple[str,
             hi -= 1
         while k < len(taken) and taken[k][2] <= lo:
             k += 1
-        free = k == len(taken) or taken[k][1] >= max(hi, b)
-        if not free:
-            continue
+        inside, j = [], k
+        while j < len(taken) and taken[j][1] < max(hi, b):
+            inside.append(taken[j][1:])
+            j += 1
         letters = any(c.isalpha() for c in text[lo : min(hi, lo + 300)])
-        if letters and hi - lo >= 12:
+        if letters and hi - lo >= 12 and not any(x < hi and y > lo for x, y in inside):
             out.append(("secret", lo, hi, secret_votes(text, lo, hi)))
             done = hi
-        elif not letters:
-            start = a - 1 if a and text[a - 1] == "(" else a
-            end = b
-            while end > a and not text[end - 1].isdigit():
-                end -= 1
-            if start >= done and len(digits_of(text[start:end])) >= 7 and end - start <= 40:
+        at = hi if letters else a - 1 if a > done and text[a - 1] == "(" else a
+        for x, y in [*inside, (b, b)]:  # base spans by start
+            for start, end in numbers(text, at, min(x, b)) if at < min(x, b) else ():
                 out.append(("number", start, end, number_votes(text, start, end)))
                 done = end
+            at = max(at, y)
     return out
 
 
