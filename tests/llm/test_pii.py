@@ -63,3 +63,9 @@ def test_numbers_beside_others_are_candidates():
         assert found("call " + " ".join(texts) + " now") == texts
     assert found("12 123-45-6789") == found("123-45-6789 10.0.0.1") == found("10.0.0.1 123-45-6789") == found("part2 123-45-6789") == ["123-45-6789"]
     assert found("no 1234567 8") == ["1234567 8"]
+
+
+def test_long_tokens_are_judged_whole():
+    late, flat = "1" * 301 + "a", "a" * 200 + "9f86d081884c7d659a2feaa0c55ad015" * 20
+    assert [c[:3] for c in pii.candidates(late, [(0, 301)], [])] == [("secret", 0, 302)]
+    assert pii.secret_votes(flat, 0, len(flat))[10] == "+"  # how random it is

@@ -122,7 +122,7 @@ def secret_votes(text: str, a: int, b: int) -> str:
     name = m.group(1).lower() if m else ""
     near = [w.lower() for w in WORD_BEFORE.findall(before)][-3:]
     letters, kinds = sum(c.isalpha() for c in token), len(set(token))
-    h = entropy(token[:200])
+    h = entropy(token)
     votes = (
         vote(bool(HEX.match(token)) and len(token) >= 24 or bool(re.match(r"[A-Za-z0-9_-]{24,}\Z", token)), len(token) < 20 or "/" in token or "." in token),  # regular expression
         vote(name in SECRET_NAMES or token.startswith(KEY_PREFIXES), name in HARMLESS_NAMES),  # gazetteer
@@ -185,7 +185,7 @@ def candidates(text: str, islands: list[tuple[int, int]], taken: list[tuple[str,
         while j < len(taken) and taken[j][1] < max(hi, b):
             inside.append(taken[j][1:])
             j += 1
-        letters = any(c.isalpha() for c in text[lo : min(hi, lo + 300)])
+        letters = any(c.isalpha() for c in text[lo:hi])
         if letters and hi - lo >= 12 and not any(x < hi and y > lo for x, y in inside):
             out.append(("secret", lo, hi, secret_votes(text, lo, hi)))
             done = hi
