@@ -69,3 +69,10 @@ def test_scores(spark):
 
 def test_contract(agree):
     agree(L.license_scan)
+
+
+def test_chains_look_at_every_match_within_the_gap():
+    """Over 64 matches of the template lie between two that chain."""
+    s = L.Scanner((("x", " ".join(f"w{i}" for i in range(200))),), ())
+    found = [(0, 0, 3, 3), *((0, 4, 7, e) for e in range(100, 180)), (0, 8, 11, 11)]
+    assert any(n == 8 / 200 and (first, last) == (0, 11) for n, _, first, last in s.chains(found))

@@ -12,6 +12,7 @@ streamed: a match of ``MIN_WORDS`` words has no other pair of neighbours.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,9 +150,9 @@ class Scanner:
             best: list[tuple[int, int]] = []  # words covered by the best chain that ends here, and where it begins
             for k, (b, a, e) in enumerate(own):
                 n, first, top = b - a + 1, a, b - a + 1
-                for j in range(max(0, k - 64), k):
+                for j in range(bisect_left(own, (a - MAX_GAP - 1,), 0, k), k):
                     bj, aj, ej = own[j]
-                    if bj < b and ej < e and a - bj <= MAX_GAP + 1:
+                    if bj < b and ej < e:
                         fresh = min(n, b - bj, e - ej)
                         if best[j][0] + fresh > top:
                             top, first = best[j][0] + fresh, best[j][1]
