@@ -4,7 +4,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that share names with what operators use inside, and with what they return.
-CLASHING = ("digest", "salt", "norm", "size", "shard", "fp", "tag", "doc", "own", "key", "copies", "kept", "score", "upper", "spans", "ids", "codec", "rank", "__drop", "count")
+CLASHING = ("digest", "salt", "norm", "size", "shard", "fp", "tag", "doc", "own", "key", "copies", "kept", "score", "upper", "spans", "ids", "codec", "rank", "__drop", "count", "row", "k_id", "k_doc_id", "part", "first", "stat_upper", "n", "signature", "source_size")
 
 
 def make_texts(seed=5):

@@ -37,12 +37,31 @@ def test_hot_group(spark):
     assert all(got[i] == ((0, 1000) if i % 3 == 0 else (i, 1)) for i in range(3000))
 
 
-def test_keep_first(odd, odd_rows):
-    kept = keep_first(odd)
-    assert kept.columns == odd.columns
-    ids = sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect())
-    dropped = {k[0] for k in expected(odd_rows) if not k[3]}
-    assert not dropped & set(ids) - {11}
+def first_rows(rows):
+    """The texts that stay, each with the smallest id; none last."""
+    best = {}
+    for r in rows:
+        key = re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "")
+        place = (r[0] is None, r[0] or 0)
+        if key not in best or place < best[key][0]:
+            best[key] = (place, key)
+    return sorted((place, key) for place, key in best.values())
+
+
+def test_keep_first(spark, odd, odd_rows, clashing, empty):
+    """One row a text: also where ids repeat with other texts, and where they are missing."""
+    weak = lambda c: F.unhex(F.concat(F.lit("0"), (F.crc32(c) % 4).cast("string")))
+    more = [(1, "alpha beta", "en", "s", 1), (2, "alpha  beta", "en", "s", 1), (2, "a unique text of id 2", "en", "s", 1), (None, "alpha beta", "en", "s", 1), (None, "a text without id", "en", "s", 1), (None, "a text without id", "en", "s", 1), (None, "a text without id", "de", "s", 1)]
+    for rows in (odd_rows, more, odd_rows + more):
+        df = spark.createDataFrame(rows, odd.schema).repartition(3)
+        for options in ({}, {"digest": weak, "salts": 2}):
+            kept = keep_first(df, **options)
+            assert kept.columns == odd.columns
+            assert first_rows([(r.doc_id, r.text) for r in kept.collect()]) == first_rows(rows) and kept.count() == len(first_rows(rows))
+            assert all(tuple(r) in {tuple(x) for x in rows} for r in kept.collect())
+    assert [r.lang for r in keep_first(spark.createDataFrame(more, odd.schema)).filter("text = 'a text without id'").collect()] == ["de"]
+    assert keep_first(clashing).columns == clashing.columns and keep_first(clashing).count() == len(first_rows(odd_rows))
+    assert keep_first(empty).count() == 0 and keep_first(empty).columns == empty.columns
 
 
 def test_contract(agree):

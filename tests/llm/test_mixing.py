@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from brute import words
 from hypothesis import given, settings
@@ -78,12 +79,18 @@ def test_reruns_and_partitions_agree(small):
     assert runs[0] == runs[1] == runs[2]
 
 
-def test_mixed(small):
-    took = {r.doc_id: r.copies for r in M.mix(small).collect()}
-    out = M.mixed(small)
-    assert out.columns == small.columns
-    counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    assert counts == {d: c for d, c in took.items() if c}
+def test_mixed(spark, small, odd, clashing, empty):
+    """The rows taken are those of the mix, word for word, also where ids repeat with other texts or are missing."""
+    more = spark.createDataFrame([(1, "a b c d e", "en", "src1", 1), (1, "x", "en", "src1", 1), (1, "y z", "en", "src2", 1), (None, "q r s", "en", "src1", 1), (None, "q r", "en", None, 1)] * 3, odd.schema)
+    for df in (small, odd, odd.unionByName(more)):
+        took = Counter()
+        for r in M.mix(df).collect():
+            took[r.doc_id, r.source, r.size] += r.copies
+        out = M.mixed(df)
+        assert out.columns == df.columns
+        assert Counter((r.doc_id, r.source, len(words(r.text))) for r in out.collect()) == +took
+    assert M.mixed(clashing).columns == clashing.columns and M.mixed(clashing).count() == M.mixed(odd).count()
+    assert M.mixed(empty).count() == 0 and M.mixed(empty).columns == empty.columns
 
 
 def test_contract(agree):

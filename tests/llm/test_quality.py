@@ -68,6 +68,34 @@ def test_keep_good(spark, odd, clashing, empty):
     assert Q.keep_good(clashing, model).columns == clashing.columns and Q.keep_good(empty, model).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """Training takes one text of an id, the same on every run and in every order."""
+    rng = random.Random(0)
+    texts = [(i, ("fine words stand here " if (i + k) % 2 else "BAD$$$ ###WORDS !! ") * rng.randint(1, 5)) for i in range(300) for k in range(2)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    models = []
+    for n in (1, 4):
+        rng.shuffle(texts)
+        models.append(Q.train(spark.createDataFrame(texts, "doc_id long, text string").repartition(n), labels))
+    assert models[0] == models[1]
+
+
+def test_score_by_hand(spark):
+    """The score of a known ensemble, from the statistics' definitions written out anew."""
+    model = Q.RuleEnsemble((Q.Rule(((Q.STATS.index("upper"), True, 0.25),), -2.0), Q.Rule(((Q.STATS.index("mean_word"), False, 4.0), (Q.STATS.index("distinct_words"), True, 0.5)), 1.5)), 0.5)
+    texts = ["", "AAA b", "a b c", "a a a a", "LOUD WORDS EVERYWHERE", "longer words standing alone", "é ü", None]
+    got = {r.doc_id: r for r in Q.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        text = text or ""
+        w = text.split()
+        z = 0.5
+        if sum("A" <= c <= "Z" for c in text) / max(1, len(text)) > 0.25:
+            z -= 2.0
+        if (sum(len(x.encode()) for x in w) / max(1, len(w))) <= 4 and (len(set(w)) / len(w) if w else 0) > 0.5:
+            z += 1.5
+        assert abs(got[i].score - 1 / (1 + 2.718281828459045**-z)) < 1e-9 and got[i].predicted == (got[i].score >= 0.3)
+
+
 def test_contract(agree):
     x = np.random.default_rng(0).random((300, len(Q.STATS)))
     model = Q.fit(x, (x[:, 0] > 0.5).astype(float))

@@ -20,11 +20,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, packed
 
 #: Source weights by rank, repeating.
 WEIGHTS = (3, 1, 2)
@@ -106,6 +106,10 @@ def landing(units: list[tuple[int, float, float]]) -> list[tuple[int, int]]:
     return [(k, best >> i & 1) for i, (k, _, _) in enumerate(units)]
 
 
+def words_of(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, group_rows: int = 2_000, fan_in: int = 256, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken and copies.
 
@@ -113,12 +117,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source of its own, ranked last.  Documents without words take nothing.  The
     result depends on the rows alone, not on how they are partitioned: units
     are bucketed by a hash of id and size and ordered by them.  Rows that share
-    id, source and size are one unit, taken together.  An empty table gives an
-    empty result; other columns are ignored.
+    id, source and size are one unit, taken together; a missing id is an id like
+    others.  Texts count whole, however long.  Where two outcomes of the landing
+    are as near to the target, the one that takes fewer units is chosen.  An
+    empty table gives an empty result; other columns are ignored, whatever their
+    names.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "mix-rows")
+    rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words_of(text_col).alias("size")), "mix-rows")
     sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # a row for each source
     goal = targets([(r["source"], r["size"]) for r in sums], weights)
 
@@ -176,10 +182,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as :func:`mix` takes it, with their columns."""
-    took = mix(docs, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as :func:`mix` takes it, with their columns.
+
+    Rows are matched by id, source and size, which is what a unit of the mix
+    shares, so repeated and missing ids are taken as :func:`mix` says.  An empty
+    table gives an empty result; columns may have any names.
+    """
+    took = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0").select("doc_id", "source", "size", "copies").distinct()
     took = materialise(took, "mix-copies")
-    id_col = options.get("id_col", "doc_id")
-    out = docs.join(took.hint("merge"), docs[id_col].eqNullSafe(took["__id"]))  # grows with the documents, so it's never broadcast
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(packed(docs).alias("row"), F.col(id_col).cast("long").alias("k_id"), F.col(source_col).alias("k_source"), words_of(text_col).alias("k_size"))
+    same = F.col("k_id").eqNullSafe(took["doc_id"]) & F.col("k_source").eqNullSafe(took["source"]) & (F.col("k_size") == took["size"])
+    out = rows.join(took.hint("merge"), same)  # grows with the documents, so it's never broadcast
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

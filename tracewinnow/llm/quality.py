@@ -230,14 +230,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, label: str = "quality", **options) -> RuleEnsemble:
-    """Fit on at most ``sample_rows`` rows of ``labels`` outside the held-out fold that have a text and a label of 0 or 1.
+    """Fit on at most ``sample_rows`` ids of ``labels`` outside the held-out fold that have a text and a label of 0 or 1.
 
-    An id with several labels counts with the largest.
+    An id with several labels counts with the largest, one with several texts
+    with the text whose SHA-256 is smallest, so reruns agree.  A null text
+    counts as empty; labels without an id or a document, and empty tables, are
+    nothing to learn from, which gives a constant score.  Other columns are
+    ignored, whatever their names.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     sample = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")  # at most sample_rows ids
-    rows = with_statistics(texts).select("doc_id", *STATS).join(sample, "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text"))
+    rows = with_statistics(texts).select("doc_id", *STATS).join(sample, "doc_id").toPandas().sort_values("doc_id")
     return fit(rows[list(STATS)].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float), **options)
 
 
@@ -246,7 +251,8 @@ def classify(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, id_co
 
     A null text counts as empty and is scored too.  Repeated rows give repeated
     results, rows without an id are held out, an empty table gives an empty
-    result, and other columns are ignored: the score sees the text alone.
+    result, and other columns are ignored: the score sees the text alone, all of
+    it however long.  A score that equals the threshold is predicted as 1.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scored = with_statistics(texts).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
@@ -254,6 +260,13 @@ def classify(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, id_co
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`classify` predicts as 1, with their columns."""
-    prefix = "__stat_"
+    """The rows of ``docs`` that :func:`classify` predicts as 1, with their columns, whatever those are called.
+
+    Each row is judged by its own text, so repeated rows share their fate and
+    ids, missing or repeated, don't matter; a null text counts as empty.  An
+    empty table gives an empty result.
+    """
+    prefix = "stat_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
     return with_statistics(docs, text_col, prefix).filter(model.column(prefix) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
