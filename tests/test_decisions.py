@@ -1,5 +1,6 @@
 """Ordered policies, low priority, metrics and the whole plan against the sequential sampler."""
 
+import hashlib
 import random
 
 import pytest
@@ -14,7 +15,7 @@ from tracewinnow.operators.policies import And, Downgrader, Latency, Named, Prob
 from tracewinnow.plans.queries import flagship, with_low_priority
 from tracewinnow.plans.sampler import Sampler
 
-T = ["000102030405060708090a0b0c0d0e0f", "00010203040506070809101112131415", "0001020304050607a0b9c0d1e2f3f1f2", "deadbeefbaddecafdeadbeefbaddecaf"]
+T = [hashlib.md5(b"trace %d" % i).hexdigest() for i in range(4)]
 KIND = {"P": Static("Pending"), "S": Static("Sampled"), "N": Static("NotSampled"), "L": Static("LowPriority"), "X": Static("Unspecified", True)}
 LISTS = [
     ("PS", None, "Sampled", 1, [("p1", "Sampled", "")]),
@@ -46,13 +47,14 @@ def test_first_decisive(spark, kinds, last_low, decision, by, points):
 @pytest.mark.parametrize(
     "service, mappings, want",
     [
-        ("my-service", (), "my-service"),
-        ("confluence-shard-0042", (("^(conf|confluence)-.*", "confluence-monolith"),), "confluence-monolith"),
-        ("tempo-ingester-7", (("^(conf|confluence)-.*", "confluence-monolith"), ("^tempo-.*", "tempo")), "tempo"),
-        ("frontend", (("^tempo-.*", "tempo"),), "frontend"),
-        ("", (("^tempo-.*", "tempo"),), ""),
-        ("confluence-shard-1", (("^confluence-", "specific"), ("^conf", "broad")), "specific"),
-        ("config-service", (("^confluence-", "specific"), ("^conf", "broad")), "broad"),
+        ("orders-7", (), "orders-7"),
+        ("orders-7", (("^orders-[0-9]+$", "orders"),), "orders"),
+        ("billing", (("^orders", "orders"), ("ill", "money")), "money"),
+        ("billing", (("^orders", "orders"),), "billing"),
+        ("", (("^orders", "orders"),), ""),
+        ("", (("^$", "unnamed"),), "unnamed"),
+        ("orders-eu", (("eu$", "europe"), ("^orders", "orders")), "europe"),
+        ("orders-eu", (("^orders", "orders"), ("eu$", "europe")), "orders"),
     ],
 )
 def test_decision_from(spark, service, mappings, want):

@@ -72,8 +72,8 @@ ZERO = "0" * 32
 ROOTS = [
     # earlier spans, parents of the unit's spans, sub decision, expected
     (0, ["0" * 16], Static("Pending"), "LowPriority"),
-    (0, ["0001020304050607"], Static("Pending"), "Pending"),
-    (0, ["0001020304050607"], Static("Sampled"), "Pending"),
+    (0, ["5a5a01f00dfeed17"], Static("Pending"), "Pending"),
+    (0, ["5a5a01f00dfeed17"], Static("Sampled"), "Pending"),
     (0, ["0" * 16] * 2, Static("Sampled"), "Pending"),
     (9, ["0" * 16], Static("Pending"), "Pending"),
     (0, ["0" * 16], Static("Pending", True), "Unspecified"),
@@ -89,7 +89,7 @@ def test_root_spans(spark, earlier, parents, sub, want):
 
 
 def test_root_spans_of_low_or_empty():
-    own = [span(ZERO, "1", "0001020304050607")]
+    own = [span(ZERO, "1", "5a5a01f00dfeed17")]
     assert python(RootSpans(Static("Pending")), own, low=True) == ("LowPriority", False)
     assert python(RootSpans(Static("Sampled")), own, low=True) == ("Pending", False)
     assert python(RootSpans(Static("Pending")), [], 1) == ("Unspecified", True)
@@ -177,7 +177,7 @@ def test_condition_errors():
     assert python(Condition(('attributes["k"] == "v"',), ('attributes["e"] == "f"',)), [], 0) == ("Pending", False)
 
 
-RATES = [(100, "", 100), (0, "", 0), (25, "", 25), (33, "", 33), (33, "test-salt", 33), (-50, "", 0), (150, "", 100)]
+RATES = [(100, "", 100), (0, "", 0), (25, "", 25), (33, "", 33), (33, "sea-salt", 33), (-50, "", 0), (150, "", 100)]
 
 
 def test_sampling_rates(spark):
@@ -190,7 +190,7 @@ def test_sampling_rates(spark):
     for i, (pct, salt, want) in enumerate(RATES):
         assert abs((rows[f"c{i}"] == "Sampled").mean() * 100 - want) <= 0.2
     for t, got in list(zip(rows["trace_id"], rows["c4"]))[:500]:
-        assert Probabilistic("test-salt", 33).evaluate(Unit(t, [], 0, 0, 0))[0] == got
+        assert Probabilistic("sea-salt", 33).evaluate(Unit(t, [], 0, 0, 0))[0] == got
 
 
 def test_remote_rate(spark):

@@ -2,7 +2,7 @@ from tracewinnow.model import NESTED, SPAN, span
 from tracewinnow.operators.units import first_spans, services, units
 from tracewinnow.sources import spans as S
 
-T1, T2 = "000102030405060708090a0b0c0d0e0f", "00010203040506070809101112131415"
+T1, T2 = "1f" * 16, "a7" * 16
 
 
 def rows():
