@@ -96,7 +96,7 @@ earliest AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY trace_i
 BOUNDS = (500_000, 1_000_000, 5_000_000, 10_000_000, 50_000_000, 100_000_000, 1_000_000_000, 1_500_000_000, 3_000_000_000, 5_000_000_000)
 
 ORACLE_SQL = {
-    "hash_fnv64": f"WITH {SPANS} SELECT trace_id, format('{{:016x}}', CAST({hash64('default-hash-seed')} AS UBIGINT)) AS hash, format('{{:016x}}', CAST({hash64('test-salt')} AS UBIGINT)) AS salted FROM traces",
+    "hash_fnv64": f"WITH {SPANS} SELECT trace_id, format('{{:016x}}', CAST({hash64('default-hash-seed')} AS UBIGINT)) AS hash, format('{{:016x}}', CAST({hash64('sea-salt')} AS UBIGINT)) AS salted FROM traces",
     "shard_fnv32": f"WITH {SPANS} SELECT trace_id, CAST({_fold(SHARD_START, 0x01000193, 1 << 32)} % 5 AS INTEGER) AS shard FROM traces",
     "rv56": f"WITH {SPANS} SELECT trace_id, {RV} AS rv FROM traces",
     "threshold_parse": f"WITH {SPANS} SELECT span_id, threshold AS text, {PARSED} AS threshold FROM spans",
@@ -110,7 +110,7 @@ ORACLE_SQL = {
     "unit_metadata": f"WITH {UNITS} SELECT batch_seq, rs_idx, trace_id, n_spans, start_ns, end_ns FROM units",
     "running_metadata": f"WITH {UNITS} SELECT batch_seq, rs_idx, trace_id, CAST(cum_spans AS BIGINT) AS cum_spans, cum_start, cum_end FROM running",
     "policy_probabilistic": policy(f"hash <= {LIMIT_33}"),
-    "policy_remote_probabilistic": policy(f"{hash64('test-salt')} <= {LIMIT_25}"),
+    "policy_remote_probabilistic": policy(f"{hash64('sea-salt')} <= {LIMIT_25}"),
     "policy_span_count": policy("cum_spans >= 3"),
     "policy_latency": policy(SLOW),
     "policy_status_code": policy("has_status"),

@@ -57,8 +57,8 @@ def traces(spark, sf_dir):
 
 
 def hash_fnv64(spark, sf_dir):
-    rows = ids.with_hash64(traces(spark, sf_dir), ("", "test-salt"))
-    return rows.select("trace_id", hex64(ids.hash_column()).alias("hash"), hex64(ids.hash_column("test-salt")).alias("salted"))
+    rows = ids.with_hash64(traces(spark, sf_dir), ("", "sea-salt"))
+    return rows.select("trace_id", hex64(ids.hash_column()).alias("hash"), hex64(ids.hash_column("sea-salt")).alias("salted"))
 
 
 def shard_fnv32(spark, sf_dir):
@@ -129,7 +129,7 @@ def policy_query(policy, name):
 
 
 def remote(rate):
-    p = RemoteProbabilistic("test-salt", 10, "getter")
+    p = RemoteProbabilistic("sea-salt", 10, "getter")
     p.start({"getter": lambda: rate})
     return p
 
