@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,11 +10,12 @@ from hypothesis import strategies as st
 
 from tracewinnow.config import Config
 from tracewinnow.model import DECISION, FLUSHES, SPAN, span
-from tracewinnow.operators import decide, export
+from tracewinnow.operators import decide, export, metrics
 from tracewinnow.operators.exact import ExactSampler, Outcome, batches, decide as decide_unit
 from tracewinnow.operators.policies import And, Downgrader, Latency, Named, Probabilistic, RootSpans, SpanCount, Static, StatusCode, Threshold, Unit
 from tracewinnow.plans.queries import flagship, with_low_priority
 from tracewinnow.plans.sampler import Sampler
+from tracewinnow.sources.spans import forward
 
 T = [hashlib.md5(b"trace %d" % i).hexdigest() for i in range(4)]
 KIND = {"P": Static("Pending"), "S": Static("Sampled"), "N": Static("NotSampled"), "L": Static("LowPriority"), "X": Static("Unspecified", True)}
@@ -105,7 +107,7 @@ def compare(spark, rows, named):
     assert all(r.resource_attrs[FLUSHES].i == 1 for r in flushed)
 
 
-@pytest.mark.parametrize("named", LISTS_OF_POLICIES, ids=["window", "fold"])
+@pytest.mark.parametrize("named", LISTS_OF_POLICIES, ids=["window", "scan"])
 @pytest.mark.parametrize("controls", [False, True])
 def test_plan_equals_sequence(spark, named, controls):
     compare(spark, stream_of(random.Random(7), 40, 60, controls), named)
@@ -117,12 +119,12 @@ def test_plan_equals_sequence_on_any_stream(spark, seed, which, controls):
     compare(spark, stream_of(random.Random(seed), 8, 12, controls), LISTS_OF_POLICIES[which])
 
 
-def test_window_and_fold_agree(spark):
+def test_window_and_scan_agree(spark):
     rows = spark.createDataFrame(stream_of(random.Random(3), 30, 40), SPAN)
     named = flagship()
     evaluated = decide.evaluated(rows, named)
     cols = ["trace_id", "batch_seq", "rs_idx", "late", "decision", "policy", "position"]
-    a, b = (sorted(map(tuple, f(evaluated, named).filter("not late").select(*cols).collect()), key=str) for f in (decide._by_window, decide._by_fold))
+    a, b = (sorted(map(tuple, f(evaluated, named).filter("not late").select(*cols).collect()), key=str) for f in (decide._by_window, decide._by_scan))
     assert a == b
     assert decide.remembers_low(with_low_priority()) and not decide.remembers_low(named)
 
@@ -156,3 +158,73 @@ def test_one_shuffle_by_trace(spark):
     rows = spark.createDataFrame([span(T[0], "1")], SPAN)
     plan = Sampler(rows, flagship(), zero_starts=False).decisions._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(trace_id") == 1 and plan.count("Exchange hashpartitioning(") == 2
+
+
+def test_no_shuffle_for_the_scan(spark):
+    """Low priority adds neither an exchange nor a sort to what the running totals need, and spans are gathered in no plan."""
+    rows = spark.createDataFrame([span(T[0], "1")], SPAN)
+    plans = [Sampler(rows, named).units._jdf.queryExecution().executedPlan().toString() for named in (flagship(), with_low_priority())]
+    assert all(p.count("Exchange hashpartitioning(trace_id") == 1 and "collect_list" not in p for p in plans)
+    assert "MapInArrow" in plans[1] and plans[0].count("Sort [") == plans[1].count("Sort [")
+
+
+def test_long_traces_take_linear_time(spark):
+    """One state goes along with a trace: its rows cost the same however many came before."""
+    named, times = with_low_priority(), []
+    for n in (20_000, 40_000):
+        rows = spark.range(n).selectExpr(f"'{T[0]}' AS trace_id", "id AS batch_seq", "0 AS rs_idx", "CAST(NULL AS BOOLEAN) AS control", "id % 3 = 0 AS low", "CAST(1 AS BIGINT) AS cum_spans")
+        rows = rows.selectExpr("*", "IF(low, 'LowPriority', 'Pending') AS _d0", "'Pending' AS _d1", "'Pending' AS _d2", "'Pending' AS _d3").coalesce(1)
+        scan = decide._by_scan(rows, named)
+        scan.write.format("noop").mode("overwrite").save()
+        began = time.time()
+        scan.write.format("noop").mode("overwrite").save()
+        times.append(time.time() - began)
+    assert times[1] < 2.2 * times[0] + 0.5
+
+
+def evicting(rows, named, keep):
+    """The sequence with unbounded caches, but that an undecided trace goes once more than ``keep`` batches passed without it."""
+    exact, seen, out = ExactSampler(BIG, named), {}, {}
+    last = max(r["batch_seq"] for r in rows)
+    drop = lambda b: [k for k in exact.traces.keys() if b - seen[k] > keep]
+    for payload in batches(rows):
+        b = payload[0][0]["batch_seq"]
+        for k in drop(b):
+            exact.traces.delete(k)
+        for resource in payload:
+            exact.consume([resource])
+        seen |= {s["trace_id"]: b for r in payload for s in r}
+    for k in drop(last):
+        exact.traces.delete(k)
+    out |= {k: "NotSampled" for k in exact.not_sampled.keys()} | {k: "Sampled" for k in exact.sampled.keys()}
+    return out, exact.metrics["traces_not_sampled"]
+
+
+@pytest.mark.parametrize("named", LISTS_OF_POLICIES, ids=["window", "scan"])
+def test_eviction_by_batches(spark, named):
+    rows = stream_of(random.Random(5), 60, 80)
+    want, count = evicting(rows, named, 6)
+    plan = Sampler(spark.createDataFrame(rows, SPAN), named, keep_batches=6)
+    got = plan.decisions.collect()
+    assert {r.trace_id: r.decision for r in got if r.decision != "Pending"} == want and count > 0
+    assert plan.counters.first().traces_not_sampled == count == sum(r.policy == "evicted" for r in got)
+    assert all(r.age > 6 for r in metrics.eviction_ages(plan.units).collect())
+
+
+def test_bad_spans_are_dropped_and_counted(spark):
+    good = [span(T[0], "1"), span(T[1], "2", batch_seq=1)]
+    bad = [span("", "3"), span("short", "4"), span(T[0].upper(), "5"), span(None, "6"), span(T[0], "7") | {"batch_seq": None}]
+    s = Sampler(spark.createDataFrame(good + bad, SPAN), [Named("all", Static("Sampled"))])
+    assert sorted(r.span_id for r in s.sampled.collect()) == ["1", "2"] and sorted(r.span_id for r in s.bad_spans.collect()) == ["3", "4", "5", "6", "7"]
+    assert tuple(s.counters.first()) == (2, 0, 5)
+    df, seen = metrics.observed(s.sampled)
+    assert df.count() == 2 and seen.get["spans"] == 2 and seen.get["last_batch"] == 1
+
+
+def test_lost_batches_are_logged(spark, caplog):
+    def broken(batch, number):
+        raise OSError("no such host")
+
+    with caplog.at_level("ERROR"):
+        forward(broken)(spark.range(1), 3)
+    assert "batch 3" in caplog.text

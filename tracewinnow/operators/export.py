@@ -35,11 +35,16 @@ def sampled_spans(spans: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def placeholders(decisions: DataFrame, policies: list[Named], now_ns: int) -> DataFrame:
-    """A span for each trace that a policy with placeholders did not sample, one second long up to ``now_ns``.
+    """A span for each trace that a policy with placeholders did not sample."""
+    names = [p.name for p in policies if p.emit_placeholder]
+    return placeholder_spans(decisions.filter((F.col("decision") == "NotSampled") & F.col("policy").isin(*names) if names else F.lit(False)), now_ns)
+
+
+def placeholder_spans(rows: DataFrame, now_ns: int) -> DataFrame:
+    """A span for each row (trace_id, policy, batch_seq, rs_idx), one second long up to ``now_ns``.
 
     Its id is a hash of trace and policy, so that a rerun makes the same span.
     """
-    names = [p.name for p in policies if p.emit_placeholder]
     text = lambda v: F.struct(v.alias("s"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in ATTR.fields[1:]])
     span = {
         "batch_seq": F.col("batch_seq"),
@@ -56,17 +61,21 @@ def placeholders(decisions: DataFrame, policies: list[Named], now_ns: int) -> Da
         "attrs": F.create_map(F.lit(PLACEHOLDER_POLICY), text(F.col("policy"))),
         "trace_id": F.col("trace_id"),
     }
-    rows = decisions.filter((F.col("decision") == "NotSampled") & F.col("policy").isin(*names) if names else F.lit(False))
     return rows.select(*[span.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SPAN.fields])
 
 
+def raised(spans: DataFrame) -> DataFrame:
+    """Spans with their resource's flush count raised by 1; a missing one becomes 1."""
+    before = F.coalesce(F.try_element_at("resource_attrs", F.lit(FLUSHES))["i"], F.lit(0).cast("long"))
+    count = F.struct(*[(before + 1 if f.name == "i" else F.lit(None).cast(f.dataType)).alias(f.name) for f in ATTR.fields])
+    attrs = F.map_concat(F.map_filter(F.coalesce("resource_attrs", F.create_map().cast(ATTRS)), lambda k, v: k != FLUSHES), F.create_map(F.lit(FLUSHES), count))
+    return spans.withColumn("resource_attrs", attrs)
+
+
 def flushed_spans(spans: DataFrame, decisions: DataFrame) -> DataFrame:
     """Data spans of traces without a final decision, their resource's flush count raised by 1."""
     known = decisions.filter("decision IN ('Sampled', 'NotSampled')").select("trace_id")
-    before = F.coalesce(F.try_element_at("resource_attrs", F.lit(FLUSHES))["i"], F.lit(0).cast("long"))
-    count = F.struct(*[(before + 1 if f.name == "i" else F.lit(None).cast(f.dataType)).alias(f.name) for f in ATTR.fields])
-    raised = F.map_concat(F.map_filter(F.coalesce("resource_attrs", F.create_map().cast(ATTRS)), lambda k, v: k != FLUSHES), F.create_map(F.lit(FLUSHES), count))
-    return data_spans(spans).join(known, "trace_id", "left_anti").withColumn("resource_attrs", raised)
+    return raised(data_spans(spans).join(known, "trace_id", "left_anti"))
 
 
 def decision_spans(decisions: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .policies import Named
 
@@ -29,9 +30,27 @@ def policy_decisions(unit_rows: DataFrame, policies: list[Named]) -> DataFrame:
     return rows.groupBy("policy", "decision", source.alias("decision_from")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def counters(decisions: DataFrame) -> DataFrame:
-    """Traces sampled by a policy, traces evicted (none, as nothing is in a plan) and spans dropped by errors."""
-    return decisions.agg(F.count_if((F.col("decision") == "Sampled") & ~F.col("told")).alias("traces_sampled"), F.lit(0).cast("long").alias("traces_not_sampled"), F.lit(0).cast("long").alias("dropped_spans"))
+def counters(decisions: DataFrame, bad_spans: DataFrame) -> DataFrame:
+    """Traces sampled by a policy, traces evicted, and spans dropped because they can't be used.
+
+    A policy's own decision not to sample isn't an eviction and isn't counted.
+    """
+    named = ~F.col("told")
+    counted = decisions.agg(F.count_if(named & (F.col("decision") == "Sampled")).alias("traces_sampled"), F.count_if(named & (F.col("policy") == "evicted")).alias("traces_not_sampled"))
+    dropped = bad_spans.agg(F.count(F.lit(1)).alias("dropped_spans"))
+    return counted.join(dropped)  # of one row each
+
+
+def eviction_ages(unit_rows: DataFrame) -> DataFrame:
+    """What the age gauge of the trace cache is fed with: at which batch an evicted trace's next unit found it gone, and how many batches it had been held."""
+    first = F.min("batch_seq").over(Window.partitionBy("trace_id"))
+    return unit_rows.withColumn("first", first).filter("evicted AND NOT late").select("trace_id", "batch_seq", (F.col("batch_seq") - F.col("first")).alias("age"))
+
+
+def observed(spans: DataFrame, name: str = "tracewinnow") -> tuple[DataFrame, Observation]:
+    """``spans``, and an observation that holds their number and their last batch once they were written or counted."""
+    own = Observation(name)
+    return spans.observe(own, F.count(F.lit(1)).alias("spans"), F.max("batch_seq").alias("last_batch")), own
 
 
 def histogram(values: DataFrame, column: str, bounds: tuple[int, ...] = BLOCKING_BOUNDS) -> DataFrame:

@@ -20,20 +20,27 @@ def resource_text(key: str) -> Column:
     return as_text(F.try_element_at("resource_attrs", F.lit(key)))
 
 
-def earliest(starts: Column) -> Column:
-    """The earliest of starts in order of arrival, where 0 also means that none is known: a later start replaces it."""
-    return F.aggregate(starts, F.lit(0).cast("long"), lambda a, x: F.when((x < a) | (a == 0), x).otherwise(a))
+def has_zero_starts(spans: DataFrame) -> bool:
+    """Whether any span starts at 0; Parquet answers from the statistics of its row groups where none can."""
+    return not spans.filter("start_ns = 0").limit(1).isEmpty()
 
 
-def units(spans: DataFrame, policies: list[Named] | tuple[Named, ...] = (), zero_starts: bool = True) -> DataFrame:
+def units(spans: DataFrame, policies: list[Named] | tuple[Named, ...] = (), zero_starts: bool | None = None) -> DataFrame:
     """One row for each unit: totals of its spans, policy aggregates and recorded resource values.
 
     ``control`` is null for data; for a decision that another instance sent it
-    is the decision.  Without ``zero_starts`` no start time may be 0, and the
-    earliest start is a plain minimum, which aggregates before the shuffle.
+    is the decision.  A start of 0 also means that none is known: a later one
+    replaces it, so the earliest start of a unit is the least after its last 0,
+    or 0 if nothing follows.  Without zeros it is a plain minimum; unless told
+    by ``zero_starts``, the spans are asked for them.  Spans are not gathered in
+    either case.
     """
-    place = F.struct("scope_idx", "span_idx", "start_ns")
-    start = earliest(F.transform(F.array_sort(F.collect_list(place)), lambda s: s["start_ns"])) if zero_starts else F.min("start_ns")
+    start = F.min("start_ns")
+    if has_zero_starts(spans) if zero_starts is None else zero_starts:
+        place = F.struct("scope_idx", "span_idx")
+        zeros = spans.filter("start_ns = 0").groupBy(*UNIT).agg(F.max(place).alias("_zero"))
+        spans = spans.join(zeros, list(UNIT), "left")
+        start = F.coalesce(F.min(F.when(F.col("_zero").isNull() | (place > F.col("_zero")), F.col("start_ns"))), F.lit(0).cast("long"))
     extra = [c.alias(n) for i, p in enumerate(policies) for n, c in p.policy.aggregates(f"_p{i}_").items()]
     extra += [F.min(resource_text(p.record_from)).alias(f"_from{i}") for i, p in enumerate(policies) if p.record_from]
     is_control = F.map_contains_key("resource_attrs", F.lit(DECISION))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,8 @@ from ..operators.exact import exact_states
 from ..operators.policies import And, Condition, Downgrader, Latency, Named, Probabilistic, RemoteProbabilistic, RootSpans, SpanCount, StatusCode, Threshold
 from ..sources.events import events_spans
 from ..sources.spans import flatten, nest
-from ..streaming.sampler import sample_stream
+from ..sources.tables import shared_dir, stored
+from ..streaming.sampler import flush_state, placeholders_of, sample_stream, spans_of
 from .sampler import Sampler
 
 SIX_HOURS_MS = 6 * 3600 * 1000
@@ -116,6 +116,12 @@ def unit_metadata(spark, sf_dir):
     return unit_ops.units(events_spans(spark, sf_dir)).select(*unit_ops.UNIT, "n_spans", "start_ns", "end_ns")
 
 
+def zero_starts(spark, sf_dir):
+    """Units of spans of which some start at 0."""
+    spans = events_spans(spark, sf_dir).withColumns({"start_ns": F.when(F.col("span_idx") % 3 == 0, F.lit(0)).otherwise(F.col("start_ns")), "rs_idx": F.lit(0)})
+    return unit_ops.units(spans).select(*unit_ops.UNIT, "n_spans", "start_ns", "end_ns")
+
+
 def running_metadata(spark, sf_dir):
     rows = decide.running(unit_ops.units(events_spans(spark, sf_dir), zero_starts=False))
     return rows.select(*unit_ops.UNIT, "cum_spans", "cum_start", "cum_end")
@@ -134,7 +140,7 @@ def remote(rate):
     return p
 
 
-CONDITIONS = Condition(('attributes["sampling.tail.threshold"] == "0x"', 'name == "error" and not IsRootSpan()', 'resource.attributes["service.name"] == "svc-3" and attributes["sampling.tail.threshold"] != nil'), ('name != "no event has this name"',))
+CONDITIONS = Condition(('attributes["sampling.tail.threshold"] == "0x"', 'name == "error" and not IsRootSpan()', 'resource.attributes["service.name"] == "svc-3" and attributes["sampling.tail.threshold"] != nil'), ('name == "retry" and attributes["attempt"] == 2', 'name != "retry" and attributes["attempt"] != nil'))
 POLICIES = {
     "policy_probabilistic": Probabilistic("", 33),
     "policy_remote_probabilistic": remote(25.0),
@@ -186,7 +192,7 @@ def early_prune(spark, sf_dir):
 
 def late_spans(spark, sf_dir):
     """Spans that came after their trace's decision, and where they went."""
-    s = sampler(spark, sf_dir)
+    s = sampler(spark, sf_dir).stored(units=True)
     late = s.units.filter("late").select(*unit_ops.UNIT)
     kept = s.decisions.select("trace_id", F.when(F.col("decision") == "Sampled", "emit").otherwise("drop").alias("route"))
     return s.spans.join(late, list(unit_ops.UNIT)).join(kept, "trace_id").select("span_id", "route")
@@ -214,8 +220,8 @@ def flush_pending(spark, sf_dir):
 
 def flush_reingest(spark, sf_dir):
     """Flushed spans met by a second sampler with one more policy: what is released has no count, the rest a count of 2."""
-    first = sampler(spark, sf_dir).flushed
-    second = Sampler(first, [*flagship(), Named("pairs", SpanCount(2))], zero_starts=False)
+    first = stored(sampler(spark, sf_dir).flushed, "flushed")  # as it reaches the second one
+    second = Sampler(first, [*flagship(), Named("pairs", SpanCount(2))], zero_starts=False).stored()
     both = second.sampled.select(*SPAN.names).unionByName(second.flushed.select(*SPAN.names))
     return both.select("trace_id", "span_id", flushes(None))
 
@@ -233,8 +239,24 @@ def decision_span_ingest(spark, sf_dir):
     return Sampler(spans, flagship(), zero_starts=False).decisions.select("trace_id", "decision", "policy", "told")
 
 
+#: Batches without a span of it after which an undecided trace is evicted.
+KEEP_BATCHES = 40
+
+
+def with_bad_spans(spark, sf_dir):
+    """Spans of which some have half a trace id."""
+    bad = F.col("span_idx") % 97 == 0
+    return events_spans(spark, sf_dir).withColumn("trace_id", F.when(bad, F.substring("trace_id", 1, 16)).otherwise(F.col("trace_id")))
+
+
 def counters(spark, sf_dir):
-    return sampler(spark, sf_dir).counters
+    """Counts over spans of which some can't be used, with traces that are evicted."""
+    return Sampler(with_bad_spans(spark, sf_dir), flagship(), zero_starts=False, keep_batches=KEEP_BATCHES).counters
+
+
+def evicted_traces(spark, sf_dir):
+    """Decisions where undecided traces are evicted: by the next unit, or at the end."""
+    return Sampler(with_bad_spans(spark, sf_dir), flagship(), zero_starts=False, keep_batches=KEEP_BATCHES).decisions.select("trace_id", "decision", "policy", "batch_seq", "rs_idx")
 
 
 def blocking_histogram(spark, sf_dir):
@@ -243,8 +265,10 @@ def blocking_histogram(spark, sf_dir):
 
 
 def gauge_last(spark, sf_dir):
-    values = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value", "event_id")
-    return metrics.last_value(values, ["event_type"], "value", "event_id")
+    """The age in batches of the trace that was evicted last."""
+    units = Sampler(with_bad_spans(spark, sf_dir), flagship(), zero_starts=False, keep_batches=KEEP_BATCHES).units
+    ages = metrics.eviction_ages(units).select(F.lit("primary").alias("cache"), "age", F.struct("batch_seq", "trace_id").alias("at"))
+    return metrics.last_value(ages, ["cache"], "age", "at")
 
 
 def regulator_steps(spark, sf_dir):
@@ -267,21 +291,43 @@ def lru_exact(spark, sf_dir):
     return exact_states(events_spans(spark, sf_dir), config)
 
 
-def stream_decisions(spark, sf_dir):
-    """The stateful stream over the spans as files, run until all are read; its final decisions."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="winnow-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+def run_stream(spark, sf_dir, name):
+    """The stateful stream over the spans as files, run until all are read; its output and the folder of its state."""
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     events_spans(spark, sf_dir).repartitionByRange(4, "batch_seq").sortWithinPartitions("batch_seq").write.parquet(f"{base}/in")
     spans = spark.readStream.schema(SPAN).parquet(f"{base}/in")
     query = sample_stream(spans, flagship(), bounded=True).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/out").filter("kind = 'decision'").select("trace_id", "decision", "policy")
+    return spark.read.parquet(f"{base}/out"), f"{base}/state"
+
+
+def stream_decisions(spark, sf_dir):
+    """Final decisions of the stream."""
+    return run_stream(spark, sf_dir, "stream")[0].filter("kind = 'decision'").select("trace_id", "decision", "policy")
+
+
+def stream_export(spark, sf_dir):
+    """Spans and placeholders that the stream sends on."""
+    out, _ = run_stream(spark, sf_dir, "stream-export")
+    spans = spans_of(out).select("trace_id", "span_id", "name", "emit_seq")
+    marks = placeholders_of(out, NOW_NS).select("trace_id", F.lit(None).cast("string").alias("span_id"), "name", F.lit(None).cast("int").alias("emit_seq"))
+    return spans.unionByName(marks)
+
+
+def stream_flush(spark, sf_dir):
+    """What a stopped stream still holds: pending spans with their flush count, and its decisions as spans."""
+    _, state = run_stream(spark, sf_dir, "stream-flush")
+    held, told = flush_state(spark, state)
+    pending = held.select("trace_id", "span_id", "name", flushes(None), F.lit(None).cast("boolean").alias("sampled"))
+    decided = told.select("trace_id", F.lit(None).cast("string").alias("span_id"), "name", F.lit(None).cast("long").alias("flushes"), F.try_element_at("resource_attrs", F.lit(DECISION))["b"].alias("sampled"))
+    return pending.unionByName(decided)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        hash_fnv64, shard_fnv32, rv56, threshold_parse, is_root, duration_ms, first_span, services_per_unit, decision_grouping, span_flatten, nested_payloads, unit_metadata, running_metadata,
+        hash_fnv64, shard_fnv32, rv56, threshold_parse, is_root, duration_ms, first_span, services_per_unit, decision_grouping, span_flatten, nested_payloads, unit_metadata, zero_starts, running_metadata,
         make_decision, trace_decision, low_priority_state, policy_decisions_metric, decision_lookup, early_prune, late_spans, sampled_export, placeholder_spans, flush_pending, flush_reingest,
-        decision_spans, decision_span_ingest, counters, blocking_histogram, gauge_last, regulator_steps, cache_tier, lru_exact, stream_decisions,
+        decision_spans, decision_span_ingest, counters, evicted_traces, blocking_histogram, gauge_last, regulator_steps, cache_tier, lru_exact, stream_decisions, stream_export, stream_flush,
     )
 } | {name: policy_query(p, name) for name, p in POLICIES.items()}

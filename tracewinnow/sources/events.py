@@ -1,12 +1,17 @@
-"""The provided ``events`` table as spans: a user's day is a trace, an event a span."""
+"""The provided ``events`` table as spans: a user's day is a trace, an event a span.
+
+Spans are dealt to four resources and three scopes by their event's number; some
+carry span events.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..model import ATTR, ATTRS, NO_PARENT, THRESHOLD
+from ..model import ATTR, ATTRS, EVENT, NO_PARENT, THRESHOLD
 from .spans import conform
 
 
@@ -14,6 +19,10 @@ def text_attr(value):
     return F.struct(*[(value if f.name == "s" else F.lit(None)).cast(f.dataType).alias(f.name) for f in ATTR.fields])
 
 
+def int_attr(value):
+    return F.struct(*[(value if f.name == "i" else F.lit(None)).cast(f.dataType).alias(f.name) for f in ATTR.fields])
+
+
 def events_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     rows = e.select(
@@ -28,13 +37,16 @@ def events_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = F.when(first & (F.col("event_type") != "click"), F.lit(NO_PARENT)).when(F.col("event_id") % 7 == 0, F.substring("trace_id", 17, 16)).otherwise(F.substring(F.md5(F.concat(F.lit("p"), F.col("trace_id"))), 1, 16))
     k = F.col("k")
     threshold = F.when(k < 10, F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(25 * k), 2, "0")))).when(k == 10, F.lit("invalid")).when(k == 11, F.lit("0x"))
+    retry = F.struct(F.lit("retry").alias("name"), F.create_map(F.lit("attempt"), int_attr(F.floor(F.col("event_id") / 5) % 3)).alias("attrs"))
+    note = F.struct(F.lit("note").alias("name"), F.create_map().cast(ATTRS).alias("attrs"))
+    events = F.when(F.col("event_id") % 10 == 0, F.array(retry, note)).when(F.col("event_id") % 5 == 0, F.array(retry)).otherwise(F.array().cast(T.ArrayType(EVENT)))
     start = F.col("us") * 1000
     rs = (F.col("event_id") % 4).cast("int")
     return conform(
         rows.select(
             F.floor(F.col("event_id") / 50.0).cast("long").alias("batch_seq"),
             rs.alias("rs_idx"),
-            F.lit(0).alias("scope_idx"),
+            (F.col("event_id") % 3).cast("int").alias("scope_idx"),
             F.col("event_id").alias("span_idx"),
             F.create_map(F.lit("service.name"), text_attr(F.concat(F.lit("svc-"), rs.cast("string")))).alias("resource_attrs"),
             "trace_id",
@@ -45,5 +57,6 @@ def events_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
             (start + F.col("long_ns")).alias("end_ns"),
             F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "OK").otherwise("UNSET").alias("status"),
             F.when(threshold.isNotNull(), F.create_map(F.lit(THRESHOLD), text_attr(threshold))).otherwise(F.create_map().cast(ATTRS)).alias("attrs"),
+            events.alias("events"),
         )
     )

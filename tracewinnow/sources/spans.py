@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import NESTED, NO_PARENT, SPAN
 
+log = logging.getLogger(__name__)
+
 
 def conform(df: DataFrame) -> DataFrame:
     """Any span table with the columns of ``SPAN``; missing ones are null, a missing parent is no parent."""
@@ -15,6 +20,27 @@ def conform(df: DataFrame) -> DataFrame:
     return out.withColumns({"parent_span_id": F.when(F.coalesce("parent_span_id", F.lit("")) == "", F.lit(NO_PARENT)).otherwise(F.col("parent_span_id")), "status": F.coalesce("status", F.lit("UNSET"))})
 
 
+#: What a span needs to be evaluated: a trace id of 16 bytes in hex, and its place of arrival.
+USABLE = "coalesce(trace_id RLIKE '^[0-9a-f]{32}$', false) AND batch_seq IS NOT NULL AND rs_idx IS NOT NULL"
+
+
+def split_bad(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans that can be evaluated, and those that are dropped and counted."""
+    return spans.filter(USABLE), spans.filter(f"NOT ({USABLE})")
+
+
+def forward(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch`` that logs what goes wrong downstream and goes on: such spans are lost, not retried."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        try:
+            write(batch, number)
+        except Exception:  # noqa: BLE001 - whatever the sink raises
+            log.exception("spans of batch %d could not be sent on and are lost", number)
+
+    return sink
+
+
 def flatten(batches: DataFrame) -> DataFrame:
     """Nested batches (``NESTED``) to spans, in order of resource, scope and span; empty resources and scopes give no rows."""
     rs = batches.select("batch_seq", F.posexplode("resource_spans").alias("rs_idx", "rs"))

@@ -15,16 +15,19 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..model import DECISION
+from ..model import DECISION, SPAN
+from ..operators import export
 from ..operators.exact import Trace, decide
 from ..operators.policies import Named, Unit
+from ..sources.spans import USABLE
 
-#: kind: span (released), decision (of a trace).
-OUTPUT = "trace_id string, kind string, decision string, policy string, batch_seq long, rs_idx int, span string"
+#: kind: span (released), decision (of a trace), placeholder (for one that a policy did not sample).
+#: emit_seq: of a span, 0 what was held when the decision fell, 1 the unit that made it, 2 what came later.
+OUTPUT = "trace_id string, kind string, decision string, policy string, batch_seq long, rs_idx int, emit_seq int, span string"
 
 
 class TraceState(StatefulProcessor):
@@ -54,14 +57,13 @@ class TraceState(StatefulProcessor):
                 own.append(order[i])
                 i += 1
             self.unit(key[0], at, [spans[k] for k in own], [texts[k] for k in own], out, timerValues)
-        yield pd.DataFrame(out, columns=["trace_id", "kind", "decision", "policy", "batch_seq", "rs_idx", "span"])
+        yield pd.DataFrame(out, columns=["trace_id", "kind", "decision", "policy", "batch_seq", "rs_idx", "emit_seq", "span"])
 
     def unit(self, trace_id: str, at: tuple, spans: list[dict], texts: list[str], out: list[tuple], timers) -> None:
-        emit = lambda these: out.extend((trace_id, "span", None, None, *at, t) for t in these)
         told = (spans[0].get("resource_attrs") or {}).get(DECISION)
         if self.decision.exists():
             if self.decision.get()[0] == "Sampled" and told is None:
-                emit(texts)
+                self.send(trace_id, at, 2, texts, out)
             return
         if told is not None:
             self.finish(trace_id, at, "Sampled" if told.get("b") else "NotSampled", None, [], out)
@@ -77,6 +79,8 @@ class TraceState(StatefulProcessor):
         got = decide(Unit(trace_id, spans, count, start, end, last_low), self.named, spans[0].get("resource_attrs"))
         if got.decision in ("Sampled", "NotSampled"):
             self.finish(trace_id, at, got.decision, got.policy.name, texts, out)
+            if got.decision == "NotSampled" and got.policy.emit_placeholder:
+                out.append((trace_id, "placeholder", got.decision, got.policy.name, *at, None, None))
             return
         is_low = got.decision == "LowPriority"
         name = (last_low or got.policy.name) if is_low else None
@@ -89,11 +93,16 @@ class TraceState(StatefulProcessor):
             return
         self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.ttl["secondary" if still_low else "primary"])
 
+    @staticmethod
+    def send(trace_id: str, at: tuple, seq: int, texts: list[str], out: list[tuple]) -> None:
+        out.extend((trace_id, "span", None, None, *at, seq, t) for t in texts)
+
     def finish(self, trace_id, at, decision, policy, texts, out) -> None:
         if decision == "Sampled":
-            held = [r[0] for r in self.held.get()] if self.totals.exists() else []
-            out.extend((trace_id, "span", None, None, *at, t) for t in [*held, *texts])
-        out.append((trace_id, "decision", decision, policy, *at, None))
+            if self.totals.exists():
+                self.send(trace_id, at, 0, [r[0] for r in self.held.get()], out)
+            self.send(trace_id, at, 1, texts, out)
+        out.append((trace_id, "decision", decision, policy, *at, None, None))
         self.decision.update((decision,))
         self.totals.clear()
         self.held.clear()
@@ -109,7 +118,7 @@ class TraceState(StatefulProcessor):
         out: list[tuple] = []
         if self.totals.exists() and not self.decision.exists():
             self.finish(key[0], (None, None), "NotSampled", "evicted", [], out)
-        yield pd.DataFrame(out, columns=["trace_id", "kind", "decision", "policy", "batch_seq", "rs_idx", "span"])
+        yield pd.DataFrame(out, columns=["trace_id", "kind", "decision", "policy", "batch_seq", "rs_idx", "emit_seq", "span"])
 
     def close(self) -> None:
         pass
@@ -120,11 +129,36 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark
 
 
 def sample_stream(spans: DataFrame, named: list[Named], primary_ttl_ms: int = 600_000, secondary_ttl_ms: int = 60_000, decision_ttl_ms: int = 3_600_000, bounded: bool = False) -> DataFrame:
-    """Released spans and decisions of a stream of spans; spans are JSON in ``span``.
+    """Released spans, decisions and placeholders of a stream of spans; spans are JSON in ``span``.
 
-    ``bounded``: the input ends (a replay of files); nothing is evicted, and a
-    query that runs until all is read comes to an end.
+    Spans that can't be evaluated are dropped.  ``bounded``: the input ends (a
+    replay of files); nothing is evicted, and a query that runs until all is
+    read comes to an end.  The session gets the state store that this needs.
     """
     spans.sparkSession.conf.set(*STATE_STORE)
-    packed = spans.select("trace_id", F.to_json(F.struct(*spans.columns)).alias("span"))
+    packed = spans.filter(USABLE).select("trace_id", F.to_json(F.struct(*spans.columns)).alias("span"))
     return packed.groupBy("trace_id").transformWithStateInPandas(TraceState(named, primary_ttl_ms, secondary_ttl_ms, decision_ttl_ms, bounded), OUTPUT, "Append", "None" if bounded else "ProcessingTime")
+
+
+def spans_of(output: DataFrame) -> DataFrame:
+    """The released spans of a stream's output, as they go downstream: with ``emit_seq``, without flush counts."""
+    rows = output.filter("kind = 'span'").select(F.from_json("span", SPAN).alias("span"), "emit_seq").select("span.*", "emit_seq")
+    return export.without_flushes(rows)
+
+
+def placeholders_of(output: DataFrame, now_ns: int) -> DataFrame:
+    """The placeholders of a stream's output as spans."""
+    rows = output.filter("kind = 'placeholder'")
+    return export.placeholder_spans(rows, now_ns)
+
+
+def flush_state(spark: SparkSession, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """What a stopped stream left in its state: held spans, their flush count raised by 1, and decisions as spans.
+
+    ``checkpoint`` is the query's ``checkpointLocation``.  The state is read as
+    of its last batch and is not changed.
+    """
+    read = lambda name: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name)
+    held = read("held").option("flattenCollectionTypes", True).load().select(F.from_json("list_element.span", SPAN).alias("span")).select("span.*")
+    decisions = read("decision").load().select("key.trace_id", "value.decision")
+    return export.raised(held), export.decision_spans(decisions)
