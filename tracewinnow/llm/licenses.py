@@ -25,17 +25,40 @@ from .common import map_batches, slices, utf8
 #: Phrases whose places are always reported, with their labels.  Fixed values.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Templates: notices as their licences ask for them, and usual one-line statements.  Fixed values.
+#: Disclaimers that several licences share.  Fixed values.
+MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+MIT_DISCLAIMER = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+BSD_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+ISC_TERMS = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+ISC_DISCLAIMER = "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+GNU_NO_WARRANTY = "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU"
+
+#: Templates: licences whole where they are short, the notices that the longer ones ask for, and usual one-line statements.  Fixed values.
 TEMPLATES = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", MIT_GRANT),
+    ("mit", f"{MIT_GRANT} {MIT_DISCLAIMER}"),
     ("mit", "Released under the MIT License."),
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("gpl", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, {GNU_NO_WARRANTY} General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
+    ("gpl", f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, {GNU_NO_WARRANTY} General Public License for more details."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl", f"This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, {GNU_NO_WARRANTY} Lesser General Public License for more details."),
+    ("agpl", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, {GNU_NO_WARRANTY} Affero General Public License for more details."),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("bsd", BSD_TERMS),
+    ("bsd", f"{BSD_TERMS} {BSD_DISCLAIMER}"),
+    ("bsd", f"{BSD_TERMS} {BSD_NAMES} {BSD_DISCLAIMER}"),
+    ("isc", ISC_TERMS),
+    ("isc", f"{ISC_TERMS} {ISC_DISCLAIMER}"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
 
@@ -133,13 +156,25 @@ class Scanner:
         self.coded_phrases = [[self.vocab[w] for w in p] for p, _ in self.phrases]
 
     def matches(self, ids: list[int], offset: int) -> list[tuple[int, int, int, int]]:
-        """Maximal matches of at least ``MIN_WORDS``: template, first and last word in the text, last word in the template."""
-        out, before = [], (0, 0)
-        for i, (s, n) in enumerate([*self.automaton.statistics(ids), (0, 0)]):
-            if before[1] >= MIN_WORDS and n != before[1] + 1:
-                for t, ends in self.automaton.ends[before[0]].items():
-                    out += [(t, offset + i - before[1], offset + i - 1, e) for e in ends]
-            before = (s, n)
+        """Maximal matches of at least ``MIN_WORDS`` of each template by itself: template, first and last word in the text, last word in the template.
+
+        At each word the states on the way up the suffix links give the longest
+        match of every template that has one; it is maximal where the next word
+        doesn't lengthen it.
+        """
+        auto, out = self.automaton, []
+        before: dict[int, tuple[int, int]] = {}  # template: length of its longest match up to the word before, and the state
+        for i, (s, n) in enumerate([*auto.statistics(ids), (0, 0)]):
+            now: dict[int, tuple[int, int]] = {}
+            while n >= MIN_WORDS:
+                for t in auto.ends[s]:
+                    now.setdefault(t, (n, s))
+                s = auto.link[s]
+                n = auto.length[s]
+            for t, (m, q) in before.items():
+                if now.get(t, (0, 0))[0] != m + 1:
+                    out += [(t, offset + i - m, offset + i - 1, e) for e in auto.ends[q][t]]
+            before = now
         return out
 
     def chains(self, found: list[tuple[int, int, int, int]]) -> list[tuple[float, int, int, int]]:
@@ -210,9 +245,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``score`` is the largest part of a template that a span covers; a text with
     a base phrase scores at least ``MIN_COVER``.  A null text counts as empty:
-    no words, no labels, score 0.  Repeated rows give repeated results, rows
-    without an id keep a null id, an empty table gives an empty result, and
-    other columns are ignored.
+    no words, no labels, score 0.  Texts are scanned whole, however long.  Of
+    chains that cover as much and end at the same word the one that begins last
+    stays.  Repeated rows give repeated results, rows without an id keep a null
+    id, an empty table gives an empty result, and other columns are ignored,
+    whatever their names.
     """
 
     def run(batches):
