@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 from brute import base_spans
@@ -69,3 +70,72 @@ def test_long_tokens_are_judged_whole():
     late, flat = "1" * 301 + "a", "a" * 200 + "9f86d081884c7d659a2feaa0c55ad015" * 20
     assert [c[:3] for c in pii.candidates(late, [(0, 301)], [])] == [("secret", 0, 302)]
     assert pii.secret_votes(flat, 0, len(flat))[10] == "+"  # how random it is
+
+
+def secrets(text):
+    islands = [m.span() for m in pii.ISLAND.finditer(text)]
+    return [text[a:b] for kind, a, b, _ in pii.candidates(text, islands, pii.base_spans(text, islands)) if kind == "secret"]
+
+
+def test_candidates_without_digits():
+    assert secrets("the password: correcthorse, and id = lighthouse.") == ["correcthorse", "lighthouse"]
+    assert secrets("api_key=aBcDeFgHiJkLmNoPqRsTuVwX pwd=abc") == ["aBcDeFgHiJkLmNoPqRsTuVwX"]
+    assert secrets("see: something, note: nothing; Donaudampfschifffahrtsgesellschaft") == []
+    assert secrets("x qWeRtYuIoPaSdFgHjKlZxCvBnM y") == ["qWeRtYuIoPaSdFgHjKlZxCvBnM"]
+    assert secrets("secret = abc123def456ghi789 and token=someone@example.org") == ["abc123def456ghi789"]
+
+
+def test_no_candidate_overlaps_another_span():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(["token=", "id: ", "a1b2c3d4e5f6", "x@y.org ", "10.0.0.1 ", "555-123-4567 ", "QwErTyUiOp", " ", "=", "/", "+1 (555) 123-4567"]) for _ in range(30))
+        islands = [m.span() for m in pii.ISLAND.finditer(text)]
+        base = pii.base_spans(text, islands)
+        own = [(a, b) for _, a, b, _ in pii.candidates(text, islands, base)]
+        assert own == sorted(own) and all(x[1] <= y[0] for x, y in zip(own, own[1:]))
+        assert not any(a < d and c < b for a, b in own for _, c, d in base)
+
+
+def test_estimates_go_against_the_majority():
+    """One labeler that is nearly always right and two that are little better than chance: the estimate follows the one, where a majority of votes doesn't."""
+    right = (0.98, 0.62, 0.6)
+    patterns = [a + b + c for a in "+-" for b in "+-" for c in "+-"]
+    share = lambda p, true: np.prod([r if (v == "+") == true else 1 - r for v, r in zip(p, right)])
+    counts = np.array([10_000 * (share(p, True) + share(p, False)) / 2 for p in patterns])
+    p = dict(zip(patterns, pii.estimate(patterns, counts, rounds=300)))
+    assert p["+--"] > 0.5 > p["-++"]
+
+
+def test_many_vote_patterns(spark):
+    """A corpus of keys, names, hashes and versions: the patterns are many, real secrets are found and harmless values left."""
+    rng = random.Random(4)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    good, bad = [], []
+    for i in range(60):
+        good += [f'password = "{mixed(24)}"', f"api_key: {mixed(32)}", f"use token {hexa(40)} here", f"secret={hexa(32)}"]
+        bad += [f"version: {rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}-release", f"see src: part{i}/section{i}.html", f"id = paragraph{i}a", f"room12part{i}of3sections"]
+    rows = [(i, t) for i, t in enumerate(good + bad)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    patterns = {c.votes for r in pii.find(df).collect() for c in r.candidates}
+    assert len(patterns) >= 10
+    got = {r.doc_id: r.n_secret for r in pii.pii_digest(df).collect()}
+    assert np.mean([got[i] == 1 for i in range(len(good))]) >= 0.9
+    assert np.mean([got[i] == 0 for i in range(len(good), len(rows))]) >= 0.9
+
+
+def test_spans_against_a_plain_version(small):
+    """All spans of whole documents: the base ones, and those candidates whose votes the classifier accepts, counted and trained here without Spark."""
+    texts = {r.doc_id: r.text or "" for r in small.collect()}
+    held, counts = {}, {}
+    for d, text in texts.items():
+        islands = [m.span() for m in pii.ISLAND.finditer(text)]
+        base = pii.base_spans(text, islands)
+        held[d] = base, pii.candidates(text, islands, base)
+        for *_, votes in held[d][1]:
+            counts[votes] = counts.get(votes, 0) + 1
+    accepted = set(pii.train(counts, {"number": 5, "secret": 7}))
+    for r in pii.pii_digest(small).collect():
+        base, more = held[r.doc_id]
+        spans = sorted([*base, *(c[:3] for c in more if c[3] in accepted)], key=lambda s: (s[1], pii.KINDS.index(s[0]), s[2]))
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in spans) and r.n_spans == len(spans)

@@ -2,9 +2,10 @@
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay.
 
-Beside them, candidate spans of other kinds are cut around digits: ``secret``
-(tokens such as keys and passwords) and ``number`` (telephone-like and
-identity numbers that no base pattern takes).  Labelers of three sorts vote on
+Beside them there are candidate spans of other kinds: ``secret`` (tokens such as
+keys and passwords: those with letters and digits, those assigned to a name of
+the gazetteers, and long ones of mixed case, digits or not) and ``number``
+(telephone-like and identity numbers that no base pattern takes).  Labelers of three sorts vote on
 each candidate: regular expressions, gazetteers and the words around it.  Votes
 are counted over the whole corpus; there are at most ``3 ** labelers`` vote
 patterns of a kind, times a few shape buckets, so the counts fit on the driver.
@@ -18,11 +19,13 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialise, slices
@@ -102,7 +105,15 @@ PHONE_SHAPE = re.compile(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}\Z")
 IDENTITY_SHAPE = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}\Z")
 #: Either shape within an island.
 NUMBER = re.compile(r"(?<![0-9])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z_])")
+#: The fewest characters of a candidate for a secret: with letters and digits, assigned to a listed name, and of mixed case.
+WITH_DIGITS, ASSIGNED, MIXED = 12, 6, 24
+#: What labelers of the context see before a candidate: characters, and the last words of those.
+CONTEXT, NEAR = 40, 3
+SIGN = re.compile(r"[=:]\s{0,2}[\"'`]?")
+TOKEN = re.compile(r"[A-Za-z0-9_/+.-]+")
+LONG = re.compile(r"[A-Za-z0-9_/+.-]{%d,}" % MIXED)
 HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
+WORDLIKE = re.compile(r"[A-Z]?[a-z]{4,}|[A-Z]{5,}")
 WORD_BEFORE = re.compile(r"[A-Za-z]+")
 
 
@@ -115,28 +126,35 @@ def vote(yes: bool, no: bool = False) -> str:
     return "+" if yes else "-" if no else "0"
 
 
+def assigned_name(before: str) -> str:
+    """The name that an assignment at the end of ``before`` is to, in lower case; empty if there is none."""
+    m = KEY_VALUE.search(before)
+    return m.group(1).lower() if m else ""
+
+
 def secret_votes(text: str, a: int, b: int) -> str:
     token = text[a:b]
-    before = text[max(0, a - 40) : a]
-    m = KEY_VALUE.search(before)
-    name = m.group(1).lower() if m else ""
-    near = [w.lower() for w in WORD_BEFORE.findall(before)][-3:]
+    before = text[max(0, a - CONTEXT) : a]
+    name = assigned_name(before)
+    near = [w.lower() for w in WORD_BEFORE.findall(before)][-NEAR:]
     letters, kinds = sum(c.isalpha() for c in token), len(set(token))
     h = entropy(token)
+    wordless = bool(HEX.match(token)) or not any(set("aeiouy") & set(w.lower()) for w in WORDLIKE.findall(token))
     votes = (
         vote(bool(HEX.match(token)) and len(token) >= 24 or bool(re.match(r"[A-Za-z0-9_-]{24,}\Z", token)), len(token) < 20 or "/" in token or "." in token),  # regular expression
         vote(name in SECRET_NAMES or token.startswith(KEY_PREFIXES), name in HARMLESS_NAMES),  # gazetteer
         vote(bool(SECRET_NAMES.intersection(near)), bool(HARMLESS_NAMES.intersection(near))),  # context
-        vote(bool(m), not m and before[-1:].isspace()),  # context: an assignment
+        vote(bool(name), not name and before[-1:].isspace()),  # context: an assignment
         vote(h >= 3.2, h < 2.6),  # how random it is
         vote(0 < letters < len(token) and kinds >= 8, letters == 0 or kinds < 5),  # what it is made of
+        vote(wordless and len(token) >= 16, not wordless),  # whether parts of it read like words
     )
     return "secret" + "".join(votes) + f"{min(4, len(token) // 12)}{min(4, int(h))}"
 
 
 def number_votes(text: str, a: int, b: int) -> str:
-    token, before = text[a:b], text[max(0, a - 40) : a]
-    near = [w.lower() for w in WORD_BEFORE.findall(before)][-3:]
+    token, before = text[a:b], text[max(0, a - CONTEXT) : a]
+    near = [w.lower() for w in WORD_BEFORE.findall(before)][-NEAR:]
     n, d = len(digits_of(token)), digits_of(token)
     votes = (
         vote(bool(PHONE_SHAPE.match(token)), n < 9 or n > 15),
@@ -164,8 +182,22 @@ def numbers(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
             at = m.end()
 
 
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens that may be secrets though no digit says so: assigned to a listed name, or long and of mixed case."""
+    for m in SIGN.finditer(text):
+        token = TOKEN.match(text, m.end())
+        if token and assigned_name(text[max(0, m.end() - CONTEXT) : m.end()]) in SECRET_NAMES | HARMLESS_NAMES:
+            end = m.end() + len(token.group().rstrip(".-/+"))
+            if end - m.end() >= ASSIGNED and any(c.isalpha() for c in text[m.end() : end]):
+                yield m.end(), end
+    for m in LONG.finditer(text):
+        own = m.group().rstrip(".-/+")
+        if len(own) >= MIXED and any(c.isupper() for c in own[1:]) and any(c.islower() for c in own):
+            yield m.start(), m.start() + len(own)
+
+
 def candidates(text: str, islands: list[tuple[int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
-    """Candidates (kind, start, end, votes) around digits, outside base spans and each other."""
+    """Candidates (kind, start, end, votes), outside base spans and each other: those around digits first, then other tokens."""
     out, done, k = [], 0, 0
     for a, b in islands:
         if b <= done:
@@ -186,7 +218,7 @@ def candidates(text: str, islands: list[tuple[int, int]], taken: list[tuple[str,
             inside.append(taken[j][1:])
             j += 1
         letters = any(c.isalpha() for c in text[lo:hi])
-        if letters and hi - lo >= 12 and not any(x < hi and y > lo for x, y in inside):
+        if letters and hi - lo >= WITH_DIGITS and not any(x < hi and y > lo for x, y in inside):
             out.append(("secret", lo, hi, secret_votes(text, lo, hi)))
             done = hi
         at = hi if letters else a - 1 if a > done and text[a - 1] == "(" else a
@@ -195,7 +227,15 @@ def candidates(text: str, islands: list[tuple[int, int]], taken: list[tuple[str,
                 out.append(("number", start, end, number_votes(text, start, end)))
                 done = end
             at = max(at, y)
-    return out
+    used = sorted([*((a, b) for _, a, b, _ in out), *((a, b) for _, a, b in taken)])
+    starts, done = [a for a, _ in used], 0
+    ends = list(accumulate((b for _, b in used), max))
+    for a, b in sorted(tokens(text)):
+        i = bisect_left(starts, b)
+        if a >= done and not (i and ends[i - 1] > a):
+            out.append(("secret", a, b, secret_votes(text, a, b)))
+            done = b
+    return sorted(out, key=lambda c: c[1])
 
 
 SCHEMA = "doc_id long, base array<struct<kind:string,start:long,end:long>>, candidates array<struct<kind:string,start:long,end:long,votes:string>>"
@@ -270,17 +310,18 @@ def detect(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, base spans and all spans, as arrays of (kind, start, end).
 
     Spans are ordered by start, then kind.  A null text counts as empty and has
-    no spans.  Repeated rows give repeated results (and count as often), rows
-    without an id keep a null id, an empty table gives an empty result, and
-    other columns are ignored.
+    no spans; texts are searched whole, however long.  A candidate that the
+    classifier finds as likely as not is a span.  Repeated rows give repeated
+    results (and count as often), rows without an id keep a null id, an empty
+    table gives an empty result, and other columns are ignored, whatever their
+    names.
     """
     found = materialise(find(docs, **options), "pii-spans")
     counted = found.select(F.explode("candidates.votes").alias("votes")).groupBy("votes").count().collect()  # bounded by the vote patterns
-    accepted = train({r["votes"]: r["count"] for r in counted}, {"number": 5, "secret": 6})
+    accepted = train({r["votes"]: r["count"] for r in counted}, {"number": 5, "secret": 7})
     spans = F.col("base")
     if accepted:
-        ok = F.array(*[F.lit(a) for a in accepted])
-        more = F.transform(F.filter("candidates", lambda c: F.array_contains(ok, c["votes"])), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+        more = F.transform(F.filter("candidates", lambda c: c["votes"].isin(*accepted)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
         order = lambda s: F.struct(s["start"], F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]), s["end"], s["kind"].alias("kind"))
         spans = F.transform(F.array_sort(F.transform(F.concat("base", more), order)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return found.select("doc_id", "base", spans.alias("spans"))
@@ -292,6 +333,9 @@ def joined(spans: str):
 
 def pii_digest(docs: DataFrame) -> DataFrame:
     """Counts, digest and listing of :func:`detect`."""
-    kinds = F.transform("base", lambda s: s["kind"])
-    count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return detect(docs).select("doc_id", *count, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    def count(spans: str, kind: str) -> Column:
+        kinds = F.transform(spans, lambda s: s["kind"])
+        return (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}")
+
+    base, more = [count("base", k) for k in BASE_KINDS], [count("spans", k) for k in KINDS if k not in BASE_KINDS]
+    return detect(docs).select("doc_id", *base, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), *more, F.size("spans").cast("long").alias("n_spans"))
