@@ -77,5 +77,30 @@ def test_pcm_is_stored(odd):
         assert len(r.pcm) == 4 * r.n_samples and M.read_wav(bytes(r.media)) == (r.codec, bytes(r.payload))
 
 
+def test_features_against_a_plain_version(odd):
+    """Feature and stored form from the file's own bytes: header fields read one by one, samples decoded one by one."""
+    tags = {1: "pcm", 6: "alaw", 7: "mulaw", 17: "adpcm"}
+    digests = {(r.doc_id, r.n_bytes, r.payload_sha256): r for r in M.media_digest(odd).collect()}
+    for r in M.audio(odd).filter("n_bytes < 3000").collect():
+        media, at, chunks = bytes(r.media), 12, {}
+        assert media[:4] == b"RIFF" and media[8:12] == b"WAVE" and struct.unpack("<I", media[4:8])[0] == len(media) - 8
+        while at + 8 <= len(media):
+            n = struct.unpack("<I", media[at + 4 : at + 8])[0]
+            chunks[media[at : at + 4]] = media[at + 8 : at + 8 + n]
+            at += 8 + n + n % 2
+        codec = tags[struct.unpack("<H", chunks[b"fmt "][:2])[0]]
+        data = chunks[b"data"]
+        assert data == bytes(r.payload) and struct.unpack("<I", chunks[b"fmt "][4:8])[0] == 8000
+        if codec == "adpcm":
+            pcm = [x for i in range(0, len(data), M.UNIT) for x in adpcm_one(data[i : i + M.UNIT])]
+        else:
+            pcm = [int(M.TABLES[codec][b]) for b in data]  # the tables are tested by their definition above
+        loud = b"".join(struct.pack("<hh", x, (x + y) >> 1) for x, y in zip(pcm, [*pcm[1:], pcm[-1]]))
+        crossings = sum((x < 0) != (y < 0) for x, y in zip(pcm, pcm[1:]))
+        own = digests[r.doc_id, r.n_bytes, hashlib.sha256(bytes(r.payload)).hexdigest()]
+        assert own.feature == f"{codec}:{len(pcm)}:{sum(map(abs, pcm)) // len(pcm)}:{max(map(abs, pcm))}:{crossings}:{zlib.crc32(loud):X}"
+        assert (own.media_bytes, own.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
 def test_contract(agree):
     agree(M.media_digest)

@@ -145,8 +145,9 @@ def audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     file; payload, the padded bytes as read back from it; codec; of the decoded
     signal n_samples, mean absolute value, peak and zero crossings; pcm, 16-bit
     samples at 16 kHz.  Equal texts give equal values.  An empty text is 64 zero
-    bytes.  Repeated rows and rows without an id are kept as they are, an empty
-    table gives an empty result, and other columns are ignored.
+    bytes; others are stored whole, however long.  Repeated rows and rows without
+    an id are kept as they are, an empty table gives an empty result, and other
+    columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,18 +70,21 @@ def minimax_cuts(runs: Runs, shards: int) -> list[int]:
     return [c for c in cuts if c < end]
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", buckets: int = 256) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``bytes``.  Size is the text's UTF-8 bytes plus 1; a null text has
-    size 1 and counts as equal to the empty one.  Slots run from 0 within a
+    size 1 and counts as equal to the empty one.  Texts count whole, however
+    long.  Groups of equal size are ordered by digest.  Slots run from 0 within a
     shard without gaps, repeated rows each taking one; rows without an id are
     sharded by text like others.  An empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
     rows = materialise(rows, "shard-rows")
+    if buckets is None:  # about 20,000 rows of a shard in each; at most 65,536, which bounds what is broadcast below
+        buckets = max(16, min(65_536, rows.count() // (20_000 * shards)))
     groups = rows.groupBy("digest", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("held"))
     groups = materialise(groups, "shard-groups")
 
