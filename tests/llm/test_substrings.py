@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 from brute import repeated_bytes
 
 from tracewinnow.llm import substrings as S
@@ -75,3 +76,38 @@ def test_thue_morse(spark):
     texts = {0: a, 1: b, 2: "c" + a[:700], 3: b[100:900] + "d"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert got(df) == want(texts)
+
+
+def test_colliding_segment_hashes(monkeypatch):
+    """With hashes of two values nearly all segments of a gram collide in a task; the bytes decide."""
+    plain = S.segments
+
+    def weak(data, sizes):
+        text, gram, whole, *rest = plain(data, sizes)
+        return text, gram, whole & 1, *rest
+
+    monkeypatch.setattr(S, "segments", weak)
+    texts = generated(4, 60)
+    rows = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array([0] * len(texts)), pa.array(list(texts.values()))], names=["doc", "tag", "text"])
+    held = pa.Table.from_batches(S.find(iter([rows]), 64)).to_pylist()
+    monkeypatch.setattr(S, "segments", plain)
+    same = pa.Table.from_batches(S.find(iter([rows]), 64)).to_pylist()
+
+    def decided(rows):
+        """Windows that are said to repeat within the task."""
+        return {(r["doc"], first + k) for r in rows for first, _, count, flag in [S.unpack(r["packed"])] if flag == S.DONE for k in range(count)}
+
+    seen = {}
+    for d, t in sorted(texts.items()):
+        b = t.encode()
+        for i in range(len(b) - S.LENGTH + 1):
+            seen.setdefault(b[i : i + S.LENGTH], (d, i))
+    repeats = {(d, i) for d, t in texts.items() for i in range(len(t.encode()) - S.LENGTH + 1) if seen[t.encode()[i : i + S.LENGTH]] != (d, i)}
+    assert decided(held) <= repeats and decided(same) <= repeats and decided(same)
+
+
+def test_digests(small):
+    """The registered digests against the brute-force version."""
+    plain = repeated_bytes({r.doc_id: r.text or "" for r in small.collect()})
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.substring_digest(small).collect()}
+    assert got == plain

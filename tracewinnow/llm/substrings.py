@@ -7,8 +7,10 @@ over all documents, and the bytes it covers are removed.
    window is the window's anchor; equal windows have equal anchors.  Windows in
    a row with the same anchor form a segment, so a document's windows fall into
    few segments.  Hashes are differences of prefix polynomial hashes.
-2. Segments that are equal as a whole (same gram, same hash and length) repeat
-   as a whole: all but the earliest are decided.
+2. Segments that are equal as a whole repeat as a whole: all but the earliest
+   are decided.  A task compares those that it has itself by the prefix hashes
+   and verifies what it finds on the bytes.  What it passes on carries a 128-bit
+   BLAKE2b digest of its bytes, by which those of different tasks are told apart.
 3. Where a gram has segments that differ, the bytes of the earliest of each go
    to one place.  Their suffixes from the gram on, and their prefixes before it
    read backwards, are sorted.  Comparisons find the common extension of two
@@ -27,22 +29,22 @@ gram's segments beyond ``CHUNK``.
 
 from __future__ import annotations
 
-import gc
+import hashlib
 from collections.abc import Iterator
 from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_batches, materialise, slices
+from .common import map_batches, materialise, slices, utf8
 
 LENGTH, GRAM = 100, 20
 GRAMS = LENGTH - GRAM + 1
 #: Anchors that a task compares at once, segments of one gram there beyond which it is salted, and the number of salts.
-TASK_ANCHORS, LOCALLY_HOT, SALTS = 4_000_000, 64, 256
+TASK_ANCHORS, LOCALLY_HOT, SALTS = 2_000_000, 64, 256
 #: Segments sorted at once.
 CHUNK = 4000
 #: Odd multipliers of the two polynomial hashes modulo 2**64, and of the mixing step.
@@ -95,13 +97,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
-def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Segments of texts: number of the text, gram hash, segment hash, first window, number of windows, gram's offset from it."""
+def segments(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments of texts that stand one after another in ``data``: number of the text, gram hash, segment hash, first window, number of windows, gram's offset from it."""
     empty = tuple(np.empty(0, dtype=np.int64) for _ in range(6))
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     if len(data) < LENGTH:
         return empty
-    sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     valid = np.ones(len(data) - LENGTH + 1, dtype=bool)
     for e, n in zip(ends.tolist(), sizes.tolist()):  # windows that would reach beyond their text
@@ -132,45 +132,60 @@ def unpack(x):
 
 
 def find(batches: Iterator[pa.RecordBatch], locally_hot: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, tag, text) to segments (gram, whole, doc, tag, packed), one of each kind from a task."""
+    """Rows (doc, tag, text) to segments (gram, high, low, doc, tag, packed), one of each kind from a task; high and low are the digest."""
     held: list[tuple[np.ndarray, ...]] = []
-    size = 0
+    texts: list[bytes] = []  # of the segments held; what Spark gives a task at most
+    size = base = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        gram, whole, doc, tag, first, count, offset = (np.concatenate(x) for x in zip(*held))
+        gram, whole, doc, tag, first, count, offset, start = (np.concatenate(x) for x in zip(*held))
+        data = b"".join(texts)
         held.clear()
+        texts.clear()
         o = np.lexsort((first, tag, doc, whole, gram))
-        gram, whole, doc, tag, first, count, offset = (x[o] for x in (gram, whole, doc, tag, first, count, offset))
+        gram, whole, doc, tag, first, count, offset, start = (x[o] for x in (gram, whole, doc, tag, first, count, offset, start))
         again = np.zeros(len(gram), dtype=bool)
         again[1:] = (gram[1:] == gram[:-1]) & (whole[1:] == whole[:-1])
         lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(gram))))
+        stop = start + count + LENGTH - 1
+        for i, k in zip(np.flatnonzero(again).tolist(), lead[again].tolist()):  # whatever the hashes say, the bytes decide
+            if data[start[i] : stop[i]] != data[start[k] : stop[k]]:
+                again[i] = False
+        lead = np.where(again, lead, np.arange(len(gram)))
         done = again & ((doc != doc[lead]) | (tag != tag[lead]) | (first != first[lead]))
         same = again & ~done  # a repeated row
         flag = np.where(done, DONE, PLAIN)
-        live = ~again
+        live = np.flatnonzero(~again)
+        digest = np.zeros((len(gram), 2), dtype=np.int64)
+        blake = hashlib.blake2b
+        digest[live] = np.frombuffer(b"".join([blake(data[a:b], digest_size=16).digest() for a, b in zip(start[live].tolist(), stop[live].tolist())]), dtype=np.int64).reshape(-1, 2)
         kinds, inverse, number = np.unique(gram[live], return_inverse=True, return_counts=True)
         hot = np.zeros(len(gram), dtype=bool)
         hot[live] = (number > locally_hot)[inverse]
         flag[hot] = SALTED
         route = gram.copy()
-        salt = mixed(gram[hot].astype(np.uint64) * np.uint64(SALTS + 1) + (whole[hot].view(np.uint64) % np.uint64(SALTS)) + np.uint64(1))
+        salt = mixed(gram[hot].astype(np.uint64) * np.uint64(SALTS + 1) + (digest[hot, 0].view(np.uint64) % np.uint64(SALTS)) + np.uint64(1))
         route[hot] = (salt >> np.uint64(24)).astype(np.int64)
         route[done] = (mixed(doc[done].view(np.uint64)) >> np.uint64(24)).astype(np.int64)
         marks = kinds[number > locally_hot]
-        keep = ~same
-        cols = [np.concatenate((x[keep], m)) for x, m in ((route, marks), (whole, marks), (doc, np.zeros_like(marks)), (tag, np.zeros_like(marks)), (pack(first, offset, count, flag), np.full_like(marks, MARKER)))]
+        keep, none = ~same, np.zeros_like(marks)
+        cols = [np.concatenate((x[keep], m)) for x, m in ((route, marks), (digest[:, 0], none), (digest[:, 1], none), (doc, none), (tag, none), (pack(first, offset, count, flag), np.full_like(marks, MARKER)))]
         for i in range(0, len(cols[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in cols], names=["gram", "whole", "doc", "tag", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in cols], names=["gram", "high", "low", "doc", "tag", "packed"])
 
     for batch in slices(batches, limit=1 << 20):
-        text, gram, whole, first, count, offset = segments(batch.column("text").cast(pa.binary()).to_pylist())
+        own = utf8(batch.column("text"))
+        joined, sizes = b"".join(own), np.array([len(t) for t in own])
+        text, gram, whole, first, count, offset = segments(np.frombuffer(joined, dtype=np.uint8), sizes)
         doc, tag = (batch.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc", "tag"))
         if len(gram):
-            held.append((gram, whole, doc, tag, first, count, offset))
+            held.append((gram, whole, doc, tag, first, count, offset, first + (np.cumsum(sizes) - sizes)[text] + base))
+            texts.append(joined)
             size += len(gram)
+            base += len(joined)
         if size >= TASK_ANCHORS:
             yield from flush()
-            size = 0
+            size = base = 0
     if held:
         yield from flush()
 
@@ -195,17 +210,17 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Rec
 
 
 def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by gram, whole and place: those that repeat one before (fine 0), those to be sorted (1, salted or marked 2)."""
+    """Segments sorted by gram, digest and place: those that repeat one before (fine 0), those to be sorted (1, salted or marked 2)."""
     for batch in whole_groups(batches, "gram"):
-        gram, whole, doc, tag, packed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "whole", "doc", "tag", "packed"))
+        gram, high, low, doc, tag, packed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "high", "low", "doc", "tag", "packed"))
         flag = packed & 3
         out = [(np.zeros(int((flag == DONE).sum()), np.int64), flag == DONE)]
         marked = np.unique(gram[flag == MARKER])
         live = np.flatnonzero((flag == PLAIN) | (flag == SALTED))
-        g, w, d, t, p = (x[live] for x in (gram, whole, doc, tag, packed))
+        g, w, v, d, t, p = (x[live] for x in (gram, high, low, doc, tag, packed))
         if len(live):
             new_g = np.concatenate(([True], g[1:] != g[:-1]))
-            new = new_g | np.concatenate(([True], w[1:] != w[:-1]))
+            new = new_g | np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])))
             lead = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
             repeat = ~new & ((d != d[lead]) | (t != t[lead]) | (p >> 2 != p[lead] >> 2))
             kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_g))[np.cumsum(new_g) - 1]
@@ -381,36 +396,28 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that are no longer needed."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", locally_hot: int = LOCALLY_HOT, chunk: int = CHUNK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans and kept, the bytes that stay.
 
     A null text counts as empty.  Places are ordered by id, then by a hash of
     the text (for rows that share an id), then by position; rows without an id
     come last.  A row that repeats another in id and text is the same place and
-    gets the same result.  Texts under ``LENGTH`` bytes keep all their bytes.
-    An empty table gives an empty result; other columns are ignored.
+    gets the same result.  Texts under ``LENGTH`` bytes keep all their bytes;
+    others are taken whole, however long.  An empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.col(id_col).cast("long")
+    unique = docs.groupBy(own.alias("own")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     last = (1 << 63) - 1
-    placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    placed = docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(last)).alias("doc"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("tag"), text.alias("text"))
 
-    found = placed.select("doc", "tag", "text").transform(map_batches, lambda it: find(it, locally_hot), "gram long, whole long, doc long, tag long, packed long")
-    decided = materialise(found.repartition("gram").sortWithinPartitions("gram", "whole", "doc", "tag", "packed").transform(map_batches, decide, "fine long, gram long, doc long, tag long, packed long"), "substring-segments")
-    del found
-    release(spark)
+    found = placed.select("doc", "tag", "text").transform(map_batches, lambda it: find(it, locally_hot), "gram long, high long, low long, doc long, tag long, packed long")
+    decided = materialise(found.repartition("gram").sortWithinPartitions("gram", "high", "low", "doc", "tag", "packed").transform(map_batches, decide, "fine long, gram long, doc long, tag long, packed long"), "substring-segments")
 
     needed = decided.filter("fine > 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("gram", "fine", "packed")).alias("own"))
     cut = placed.select("doc", "tag", "text").join(needed, ["doc", "tag"]).transform(map_batches, cut_out, "gram long, fine long, doc long, tag long, packed long, bytes binary")
     sorted_ = materialise(cut.repartition("gram").sortWithinPartitions("gram", "doc", "tag", "packed").transform(map_batches, lambda it: sort_segments(it, chunk), "doc long, tag long, first long, n long, window binary"), "substring-windows")
-    del needed, cut
-    release(spark)
 
     place = F.struct("doc", "tag", "first")
     split = sorted_.filter("window IS NOT NULL").withColumn("earliest", F.min(place).over(Window.partitionBy("window"))).filter(place != F.col("earliest")).select("doc", "tag", "first", "n")
