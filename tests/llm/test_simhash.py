@@ -13,20 +13,26 @@ def test_fingerprints(odd, small):
         assert got == sorted(fingerprint(r.text) for r in df.collect())
 
 
+def components_of(rows):
+    """(id, fingerprint) rows to the component of each fingerprint: its smallest id."""
+    names = sorted({f for _, f in rows})
+    number = roots(range(len(names)), lambda i, j: (names[i] ^ names[j]).bit_count() <= 3)
+    low = {}
+    for d, f in rows:
+        if d is not None:
+            part = number[names.index(f)]
+            low[part] = min(d, low.get(part, d))
+    return {f: (number[i], low.get(number[i])) for i, f in enumerate(names)}
+
+
 def test_components(odd, small):
     for df in (odd, small):
         rows = [(r.doc_id, fingerprint(r.text)) for r in df.collect()]
-        ids = {}
-        for d, f in rows:
-            if d is not None:
-                ids.setdefault(f, []).append(d)
-        names = sorted(ids, key=lambda f: (min(ids[f]), f))  # an id that repeats has several fingerprints, so they are linked and not ids
-        number = roots(range(len(names)), lambda i, j: (names[i] ^ names[j]).bit_count() <= 3)
-        want = {f"{f:016x}": min(min(ids[names[j]]) for j in range(len(names)) if number[j] == number[i]) for i, f in enumerate(names)}
+        want = components_of(rows)
         got = H.near_duplicates(df).collect()
         assert len(got) == len(rows)
         for r in got:
-            assert r.component_id == want.get(r.fingerprint)
+            assert r.component_id == want[int(r.fingerprint, 16)][1]
 
 
 def test_tables_share_a_key_for_every_close_pair():
@@ -147,22 +153,61 @@ def test_wider_links_among_dissimilar_hubs(spark):
     assert {r.doc_id: r.component_id for r in H.near_duplicates(df, wider_bits=6).collect()} == want
 
 
+def rows_of(cols, names, each):
+    return iter([pa.RecordBatch.from_arrays([pa.array(c[i : i + each]) for c in cols], names=names) for i in range(0, len(cols[0]), each)])
+
+
 def test_large_groups_are_tried_whole():
-    """No pair of other labels in a group of any size is left out, also across batches; stars are linear."""
+    """Links join what all similar pairs of a group would, also across batches, and are no more than needed; stars are linear."""
     n = 50
     cols = [np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64), np.full(n, 9), np.arange(n) // 2]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 7]) for c in cols], names=["key", "id", "fp", "n", "label"]) for i in range(0, n, 7)]
-    found = lambda stars: sorted((a, b) for x in H.unlinked(6, 0.8, stars)(iter(batches)) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist()))
-    assert found(False) == [(i, j) for i in range(n) for j in range(i + 1, n) if i // 2 != j // 2]
-    assert len(found(True)) == n - 2
-
-
-def test_keep_one(odd):
-    kept = H.keep_one(odd, wider_bits=0)
-    assert kept.columns == odd.columns
-    labels = {(r.doc_id, r.component_id) for r in H.near_duplicates(odd).collect()}
-    assert {r.doc_id for r in kept.collect()} == {None} | {d for d, c in labels if d is not None and all(c2 >= d2 for d2, c2 in labels if d2 == d)}
-    assert H.keep_one(odd).count() <= kept.count()
+    names = ["key", "id", "fp", "n", "label"]
+    pairs = lambda run: sorted((a, b) for x in run for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist()))
+    assert len(pairs(H.unlinked(6, 0.8)(rows_of(cols, names, 7)))) == n - 2
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(60)]
+    sets = [sorted({*r.sample(base, r.choice([50, 54, 57])), *(r.getrandbits(64) for _ in range(r.choice([0, 3, 9])))}) for _ in range(n)]
+    like = lambda i, j: len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})
+    fps = np.arange(n) * 1000
+    got = [(a // 1000, b // 1000) for x in H.verified(64, 0.8)(rows_of([cols[0], fps, fps, [np.array(x, dtype=np.uint64).tobytes() for x in sets]], ["key", "fp", "label", "set"], 7)) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist())]
+    want = roots(range(n), like)
+    assert all(like(i, j) for i, j in got) and roots(range(n), lambda i, j: (i, j) in got) == want
+    assert 1 < len(set(want.values())) < n - 5 and len(got) == n - len(set(want.values()))
+
+
+def test_crowded_bands(spark):
+    """Wide groups are keyed again with more bands and lose no pair of near copies; two families far apart stay so."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage, texts = [word() for _ in range(120)], []
+    for _ in range(40):
+        own = passage + [word() for _ in range(40)]
+        texts += [" ".join(own), " ".join([*own[:-3], word(), word(), word()])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = H.materialise(H.fingerprints(df, similar_shingle=5), "test")
+    none = spark.createDataFrame([], "a long, b long")
+    fp = {r.doc_id: r.fp for r in rows.collect()}
+    want = roots(range(len(texts)), lambda i, j: fp[i] == fp[j] or jaccard(texts[i], texts[j]) >= 0.8)
+    for wide, rounds in ((10, 1), (10**6, 2)):
+        links = H.wider_links(df, rows, none, 64, 0.8, 5, wide=wide, rounds=rounds).collect()
+        number = roots(range(len(texts)), lambda i, j: any({fp[i], fp[j]} == {x.a, x.b} for x in links))  # noqa: B023
+        assert number == want
+
+
+def test_keep_one(spark, odd, odd_rows, clashing, empty):
+    """One row a component, whatever ids repeat or are missing."""
+    more = [(7, "one two three four five six", "en", "s", 1), (7, "wholly other words stand in this text here", "en", "s", 1), (3, "one two three four five six", "en", "s", 1), (None, "one  two three four five six", "en", "s", 1), (None, "nothing like the rest of all these", "en", "s", 1), (None, "nothing like the rest of all these", "en", "s", 1)]
+    for rows in (odd_rows, more, odd_rows + more):
+        df = spark.createDataFrame(rows, odd.schema).repartition(3)
+        parts = components_of([(r[0], fingerprint(r[1])) for r in rows])
+        kept = H.keep_one(df, wider_bits=0)
+        assert kept.columns == odd.columns
+        got = sorted((parts[fingerprint(r.text)][0], -1 if r.doc_id is None else r.doc_id) for r in kept.collect())
+        assert got == sorted({(part, -1 if low is None else low) for part, low in parts.values()})
+        assert all(tuple(r) in {tuple(x) for x in rows} for r in kept.collect())
+        assert H.keep_one(df).count() <= kept.count()
+    assert H.keep_one(clashing, wider_bits=0).columns == clashing.columns
+    assert H.keep_one(empty).count() == 0 and H.keep_one(empty).columns == empty.columns
 
 
 def test_contract(agree):
