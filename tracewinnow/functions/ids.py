@@ -56,23 +56,25 @@ def with_hash64(df: DataFrame, salts: Iterable[str] = ("",), trace_id: str = "tr
     """Adds the unsigned FNV-1a 64 of salt and id, held in a signed long, for each salt.
 
     The salt is folded on the driver.  The prime is 2**40 + 0x1b3, so a step is
-    done on two halves of 32 bits without overflow.  Each byte is a projection of
-    its own: the optimizer leaves them apart, since each value is used more
-    than once, and they stay within one generated loop.
+    done on two halves of 32 bits without overflow.  Two bytes are a projection
+    of their own: the optimizer leaves these apart, since each value is used
+    more than once, and they stay within one generated loop, which computes what
+    recurs in a projection once.
     """
     names = {hash_column(s): fnv64((s or DEFAULT_SALT).encode()) for s in salts}
     if not names:
         return df
     quoted = ", ".join(f"`{c}`" for c in df.columns)
-    own = [f"{n}_{part}" for n in names for part in ("hi", "lo")]
     rows = f"SELECT {quoted}, CAST(conv(substring(`{trace_id}`, 1, 16), 16, -10) AS BIGINT) AS _h0, CAST(conv(substring(`{trace_id}`, 17, 16), 16, -10) AS BIGINT) AS _h1"
     rows += "".join(f", {x >> 32}L AS {n}_hi, {x & M32}L AS {n}_lo" for n, x in names.items()) + " FROM {source}"
-    for i in range(16):
-        byte = f"(shiftrightunsigned(_h{i // 8}, {56 - 8 * (i % 8)}) & 255L)"
-        mixed = "".join(f", {n}_lo ^ {byte} AS {n}_x" for n in names)
-        rows = f"SELECT {quoted}, _h0, _h1, {', '.join(own)}{mixed} FROM ({rows})"
-        step = "".join(f", ({n}_hi * 435L + shiftrightunsigned({n}_x * 435L, 32) + shiftleft({n}_x, 8)) & {M32}L AS {n}_hi, ({n}_x * 435L) & {M32}L AS {n}_lo" for n in names)
-        rows = f"SELECT {quoted}, _h0, _h1{step} FROM ({rows})"
+
+    def step(hi: str, lo: str, byte: int) -> tuple[str, str]:
+        x = f"({lo} ^ (shiftrightunsigned(_h{byte // 8}, {56 - 8 * (byte % 8)}) & 255L))"
+        return f"(({hi} * 435L + shiftrightunsigned({x} * 435L, 32) + shiftleft({x}, 8)) & {M32}L)", f"(({x} * 435L) & {M32}L)"
+
+    for i in range(0, 16, 2):
+        both = {n: step(*step(f"{n}_hi", f"{n}_lo", i), i + 1) for n in names}
+        rows = f"SELECT {quoted}, _h0, _h1{''.join(f', {hi} AS {n}_hi, {lo} AS {n}_lo' for n, (hi, lo) in both.items())} FROM ({rows})"
     return df.sparkSession.sql(f"SELECT {quoted}" + "".join(f", shiftleft({n}_hi, 32) | {n}_lo AS {n}" for n in names) + f" FROM ({rows})", source=df)
 
 

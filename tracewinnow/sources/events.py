@@ -7,56 +7,47 @@ carry span events.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from ..model import ATTR, ATTRS, EVENT, NO_PARENT, THRESHOLD
-from .spans import conform
+from ..model import ATTR, ATTRS, EVENT, LINK, NO_PARENT, SCOPE, SPAN, THRESHOLD
 
 
-def text_attr(value):
-    return F.struct(*[(value if f.name == "s" else F.lit(None)).cast(f.dataType).alias(f.name) for f in ATTR.fields])
-
-
-def int_attr(value):
-    return F.struct(*[(value if f.name == "i" else F.lit(None)).cast(f.dataType).alias(f.name) for f in ATTR.fields])
+def attribute(field: str, value: str) -> str:
+    """An attribute with one field set, in SQL."""
+    return "named_struct(" + ", ".join(f"'{f.name}', CAST({value if f.name == field else 'NULL'} AS {f.dataType.simpleString()})" for f in ATTR.fields) + ")"
 
 
 def events_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In SQL text, as building it column by column takes longer than the small tables do."""
+    none = f"CAST(map() AS {ATTRS.simpleString()})"
+    retry = f"named_struct('name', 'retry', 'attrs', map('attempt', {attribute('i', 'event_id div 5 % 3')}))"
+    note = f"named_struct('name', 'note', 'attrs', {none})"
+    threshold = "CASE WHEN k < 10 THEN concat('0x', lower(lpad(hex(25 * k), 2, '0'))) WHEN k = 10 THEN 'invalid' WHEN k = 11 THEN '0x' END"
+    columns = {
+        "batch_seq": "CAST(floor(event_id / 50.0) AS BIGINT)",
+        "rs_idx": "CAST(event_id % 4 AS INT)",
+        "scope_idx": "CAST(event_id % 3 AS INT)",
+        "span_idx": "event_id",
+        "resource_attrs": f"map('service.name', {attribute('s', 'concat(\'svc-\', CAST(event_id % 4 AS STRING))')})",
+        "scope": f"CAST(NULL AS {SCOPE.simpleString()})",
+        "trace_id": "trace_id",
+        "span_id": "substring(md5(concat('s', CAST(event_id AS STRING))), 1, 16)",
+        "parent_span_id": f"CASE WHEN first AND event_type <> 'click' THEN '{NO_PARENT}' WHEN event_id % 7 = 0 THEN substring(trace_id, 17, 16) ELSE substring(md5(concat('p', trace_id)), 1, 16) END",
+        "name": "event_type",
+        "start_ns": "us * 1000",
+        "end_ns": "us * 1000 + long_ns",
+        "status": "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'OK' ELSE 'UNSET' END",
+        "attrs": f"CASE WHEN k < 12 THEN map('{THRESHOLD}', {attribute('s', threshold)}) ELSE {none} END",
+        "events": f"CASE WHEN event_id % 10 = 0 THEN array({retry}, {note}) WHEN event_id % 5 = 0 THEN array({retry}) ELSE CAST(array() AS ARRAY<{EVENT.simpleString()}>) END",
+        "links": f"CAST(NULL AS ARRAY<{LINK.simpleString()}>)",
+    }
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = e.select(
-        "event_id",
+    rows = e.selectExpr(
+        "CAST(event_id AS BIGINT) AS event_id",
         "event_type",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-        F.floor(F.col("value") * 1_000_000).cast("long").alias("long_ns"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.md5(F.concat_ws("|", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))).alias("trace_id"),
-    )
-    first = F.min("event_id").over(Window.partitionBy("trace_id")) == F.col("event_id")
-    parent = F.when(first & (F.col("event_type") != "click"), F.lit(NO_PARENT)).when(F.col("event_id") % 7 == 0, F.substring("trace_id", 17, 16)).otherwise(F.substring(F.md5(F.concat(F.lit("p"), F.col("trace_id"))), 1, 16))
-    k = F.col("k")
-    threshold = F.when(k < 10, F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(25 * k), 2, "0")))).when(k == 10, F.lit("invalid")).when(k == 11, F.lit("0x"))
-    retry = F.struct(F.lit("retry").alias("name"), F.create_map(F.lit("attempt"), int_attr(F.floor(F.col("event_id") / 5) % 3)).alias("attrs"))
-    note = F.struct(F.lit("note").alias("name"), F.create_map().cast(ATTRS).alias("attrs"))
-    events = F.when(F.col("event_id") % 10 == 0, F.array(retry, note)).when(F.col("event_id") % 5 == 0, F.array(retry)).otherwise(F.array().cast(T.ArrayType(EVENT)))
-    start = F.col("us") * 1000
-    rs = (F.col("event_id") % 4).cast("int")
-    return conform(
-        rows.select(
-            F.floor(F.col("event_id") / 50.0).cast("long").alias("batch_seq"),
-            rs.alias("rs_idx"),
-            (F.col("event_id") % 3).cast("int").alias("scope_idx"),
-            F.col("event_id").alias("span_idx"),
-            F.create_map(F.lit("service.name"), text_attr(F.concat(F.lit("svc-"), rs.cast("string")))).alias("resource_attrs"),
-            "trace_id",
-            F.substring(F.md5(F.concat(F.lit("s"), F.col("event_id").cast("string"))), 1, 16).alias("span_id"),
-            parent.alias("parent_span_id"),
-            F.col("event_type").alias("name"),
-            start.alias("start_ns"),
-            (start + F.col("long_ns")).alias("end_ns"),
-            F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "OK").otherwise("UNSET").alias("status"),
-            F.when(threshold.isNotNull(), F.create_map(F.lit(THRESHOLD), text_attr(threshold))).otherwise(F.create_map().cast(ATTRS)).alias("attrs"),
-            events.alias("events"),
-        )
+        "unix_micros(CAST(ts AS TIMESTAMP)) AS us",
+        "CAST(floor(value * 1000000) AS BIGINT) AS long_ns",
+        "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        "md5(concat_ws('|', CAST(user_id AS STRING), CAST(to_date(ts) AS STRING))) AS trace_id",
     )
+    rows = rows.selectExpr("*", "min(event_id) OVER (PARTITION BY trace_id) = event_id AS first")
+    return rows.selectExpr(*[f"{columns[f.name]} AS {f.name}" for f in SPAN.fields])
