@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), applies one operator to all of ``docs``
 and returns the next stage's documents; the last returns tokens.
+
+All stages take null texts as empty, texts of any length, rows that repeat an id
+or have none, tables without rows and columns of any name; what they make of
+them, and of ties, the operators' docstrings say.  Rows, not ids, are kept or
+dropped.
 """
 
 from __future__ import annotations
