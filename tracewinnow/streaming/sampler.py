@@ -152,6 +152,16 @@ def placeholders_of(output: DataFrame, now_ns: int) -> DataFrame:
     return export.placeholder_spans(rows, now_ns)
 
 
+def blocking_times(spark: SparkSession, progress: list) -> DataFrame:
+    """How long each trigger of a query held its spans back before they were evaluated, in nanoseconds; ``progress`` is its ``recentProgress``.
+
+    Feeds :func:`tracewinnow.operators.metrics.histogram`.
+    """
+    before = ("latestOffset", "getOffset", "getBatch", "queryPlanning", "walCommit")
+    waits = [(p["batchId"], 1_000_000 * sum(p["durationMs"].get(k, 0) for k in before)) for p in progress if p["numInputRows"]]
+    return spark.createDataFrame(waits, "batch_id long, ns long")
+
+
 def flush_state(spark: SparkSession, checkpoint: str) -> tuple[DataFrame, DataFrame]:
     """What a stopped stream left in its state: held spans, their flush count raised by 1, and decisions as spans.
 
