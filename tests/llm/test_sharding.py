@@ -25,6 +25,26 @@ def test_smallest_capacity(sizes, shards):
     assert got == best(0, shards)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 9000), min_size=1, max_size=40), st.integers(1, 6), st.integers(0, 12))
+def test_classes_of_sizes(sizes, shards, below):
+    """Cuts from sums by classes, with single classes fetched, are those of the whole summary."""
+    runs = [(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)]
+    own = lambda s: s >> below << below
+    names = sorted({own(s) for s in sizes}, reverse=True)
+    classes = S.Classes([(c, sum(n for s, n in runs if own(s) == c), sum(s * n for s, n in runs if own(s) == c)) for c in names], lambda c: [(s, n) for s, n in runs if own(s) == c])
+    plain = S.Runs(runs)
+    cuts = S.minimax_cuts(plain, shards)
+    assert S.minimax_cuts(classes, shards) == cuts and [classes.place(c) for c in cuts] == [plain.place(c) for c in cuts]
+
+
+def test_large_summaries(spark, small):
+    """A summary that the driver doesn't take whole gives the same shards."""
+    assert sorted(map(tuple, S.shard(small, most_sizes=3).collect()), key=str) == sorted(map(tuple, S.shard(small).collect()), key=str)
+    rows = spark.createDataFrame([(1,), (4095,), (4096,), (4097,), (8191,), (8193,), (10**9 + 7,)], "s long")
+    assert [r[0] for r in rows.select(S.class_of(rows.s)).collect()] == [s >> max(0, s.bit_length() - 1 - S.CLASS_BITS) << max(0, s.bit_length() - 1 - S.CLASS_BITS) for (s,) in rows.collect()]
+
+
 def check(rows, got):
     by_shard, by_text = defaultdict(list), defaultdict(set)
     size = lambda t: len((t or "").encode()) + 1
