@@ -89,7 +89,7 @@ def settled(docs: DataFrame, keys: dict[str, Column], fates: DataFrame) -> DataF
     rows = docs.select(packed(docs).alias("row"), *[c.alias(f"k_{k}") for k, c in keys.items()])
     same = lambda fate: reduce(lambda a, b: a & b, [F.col(f"k_{k}").eqNullSafe(fate[k]) for k in keys])
     gone, again = fates.filter("NOT kept OR n > 1").select(*keys), fates.filter("kept AND n > 1").select(*keys)
-    out = rows.join(gone, same(gone), "left_anti").select("row")
+    out = rows.join(gone.hint("merge"), same(gone), "left_anti").select("row")  # grows with the documents, so it's never broadcast
     if not again.isEmpty():
         one = rows.join(again, same(again), "left_semi").groupBy(*[f"k_{k}" for k in keys]).agg(F.min_by("row", F.to_json("row")).alias("row"))
         out = out.unionByName(one.select("row"))
