@@ -47,7 +47,7 @@ LITERAL = "\udc81"
 INF = float("inf")
 #: Weight of a border that the merges don't leave, and of a character that is no piece.
 BORDER, UNKNOWN = 1e9, 10.0
-#: Bytes of words and paths that a worker remembers in each of two generations, and the longest word among them.
+#: Bytes of words and paths that a task remembers in each of two generations, and the longest word among them.
 REMEMBERED, LONGEST = 48 << 20, 64
 #: Slots of a worker's table of borders.
 BORDERS = 1 << 21
@@ -423,6 +423,9 @@ class Transducer:
         if self.held > REMEMBERED:
             self.old, self.young, self.held = self.young, {}, 0
 
+    def forget(self) -> None:
+        self.young, self.old, self.held = {}, {}, 0
+
     def words(self, text: str) -> list[str]:
         """The pieces of the normalised text at whose borders the paths fall apart."""
         out: list[str] = []
@@ -476,7 +479,7 @@ _COMPILED: dict[int, Transducer] = {}
 
 
 def compiled(model: bytes) -> Transducer:
-    """One transducer for each worker and model, with the paths it remembers."""
+    """One transducer for each worker and model; a task forgets its words when it ends."""
     key = hash(model)
     if key not in _COMPILED:
         _COMPILED.clear()
@@ -507,6 +510,7 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
             flat, offsets = t.encode_all([x or "" for x in batch.column("text").to_pylist()])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), ids, t.decode_all(flat, offsets).cast(pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        t.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_batches, run, SCHEMA)
 
