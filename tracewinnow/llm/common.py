@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -116,7 +115,6 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
 
 def give_back() -> None:
     """Return what a task has freed to the system: workers live on, and an executor's limit counts them all."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

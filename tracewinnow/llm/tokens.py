@@ -28,6 +28,7 @@ has no character map and keeps white space; else it gives the normalised text.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from collections import defaultdict
@@ -425,6 +426,7 @@ class Transducer:
 
     def forget(self) -> None:
         self.young, self.old, self.held = {}, {}, 0
+        gc.collect()
 
     def words(self, text: str) -> list[str]:
         """The pieces of the normalised text at whose borders the paths fall apart."""
