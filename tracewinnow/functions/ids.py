@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from fractions import Fraction
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,12 @@ def fnv64(data: bytes, state: int = FNV64_START) -> int:
     return state
 
 
+@lru_cache(maxsize=4096)
+def hash64(salt: str, trace_id: str) -> int:
+    """The hash of salt and trace id; a trace's units, and policies with one salt, share it."""
+    return fnv64((salt or DEFAULT_SALT).encode() + bytes.fromhex(trace_id))
+
+
 def fnv32(data: bytes, state: int = FNV32_START) -> int:
     for b in data:
         state = (state ^ b) * FNV32_PRIME & M32
@@ -90,6 +97,7 @@ def at_most(value: Column, bound: int) -> Column:
     return value.bitwiseXOR(F.lit(FLIP)) <= F.lit(signed(bound) ^ FLIP)
 
 
+@lru_cache(maxsize=1024)
 def sampling_threshold(percentage: float) -> int:
     """The largest hash that is sampled at a percentage: the ratio of 2**64 - 1, rounded to 64 significant bits, cut off, within bounds."""
     ratio = percentage / 100

@@ -107,7 +107,7 @@ class Probabilistic(Policy):
         return {self.salt}
 
     def evaluate(self, unit):
-        h = ids.fnv64((self.salt or ids.DEFAULT_SALT).encode() + bytes.fromhex(unit.trace_id))
+        h = ids.hash64(self.salt, unit.trace_id)
         return (SAMPLED if h <= ids.sampling_threshold(self.percentage) else PENDING), False
 
 

@@ -1,6 +1,7 @@
 """The sampler over a stream of spans, keyed by trace.
 
-State per trace: its totals, its held spans and its decision.  Capacity is
+Traces are dealt to buckets by hash; a bucket's state has an entry for each
+trace, of which a trigger touches those that it has rows of.  State per trace: its totals, its held spans and its decision.  Capacity is
 bounded by time instead of by count: a trace that stays undecided for
 ``primary_ttl_ms`` (``secondary_ttl_ms`` while it is low priority) is evicted as
 not sampled, and a decision is forgotten after ``decision_ttl_ms``.
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +33,36 @@ from ..sources.spans import USABLE
 OUTPUT = "trace_id string, kind string, decision string, policy string, batch_seq long, rs_idx int, emit_seq int, span string"
 
 
+#: Traces share a group of state by hash, so that a trigger calls Python once for a group and not for each trace.
+BUCKETS = 4096
+#: Decisions of a bucket are stored together in so many entries.
+SLOTS = 64
+#: A trace's entry has so many held spans at most; more go to entries of their own, which are not written again.
+INLINE = 16
+#: Rows of output that are gathered at most before they are passed on, but for one trace's.
+OUT_ROWS = 5000
+PLACE = ("batch_seq", "rs_idx", "scope_idx", "span_idx")
+COLUMNS = ["trace_id", "kind", "decision", "policy", "batch_seq", "rs_idx", "emit_seq", "span"]
+
+
+@dataclass
+class Held:
+    """What is known of an undecided trace, with its spans but for those in ``parts`` other entries."""
+
+    span_count: int
+    earliest: int
+    latest: int
+    low: bool
+    last_low: str | None
+    due: int | None = None
+    parts: int = 0
+    spans: list[str] = field(default_factory=list)
+    stored: bool = False
+
+
 class TraceState(StatefulProcessor):
+    """Traces of a bucket.  An undecided trace has an entry of its own, decisions share entries; each is read and written at most once a trigger."""
+
     def __init__(self, named: list[Named], primary_ttl_ms: int, secondary_ttl_ms: int, decision_ttl_ms: int, bounded: bool):
         self.named = named
         self.ttl = {"primary": primary_ttl_ms, "secondary": secondary_ttl_ms}
@@ -39,86 +71,139 @@ class TraceState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", "span_count long, earliest long, latest long, low boolean, last_low string")
-        self.held = handle.getListState("held", "span string")
-        self.decision = handle.getValueState("decision", "decision string", None if self.bounded else self.decision_ttl)
+        self.totals = handle.getMapState("totals", "trace_id string", "span_count long, earliest long, latest long, low boolean, last_low string, due long, parts int, spans array<string>")
+        self.held = handle.getMapState("held", "trace_id string, part int", "spans array<string>")
+        #: an entry goes when its last decision is forgotten; until then each decision's own time counts
+        self.decision = handle.getMapState("decision", "slot int", "trace_ids array<string>, decisions array<string>, forgotten array<long>", None if self.bounded else self.decision_ttl)
+        #: traces by the time at which they are to be evicted, if that is still what their totals say
+        self.due = handle.getMapState("due", "due long", "trace_ids array<string>, slots array<int>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        texts = pdf["span"].tolist()
-        spans = [json.loads(t) for t in texts]
-        order = sorted(range(len(spans)), key=lambda i: tuple(spans[i][c] for c in ("batch_seq", "rs_idx", "scope_idx", "span_idx")))
+        slots: dict[int, dict[str, list[str]]] = {}
+        for pdf in rows:
+            for slot, trace_id, text in zip(pdf["slot"].tolist(), pdf["trace_id"].tolist(), pdf["span"].tolist()):
+                slots.setdefault(slot, {}).setdefault(trace_id, []).append(text)
+        decided, undecided = self.decision.exists(), self.totals.exists()
+        now = 0 if self.bounded else timerValues.getCurrentProcessingTimeInMs()
+        due: dict[int, list[tuple[str, int]]] = {}
         out: list[tuple] = []
-        i = 0
-        while i < len(order):
-            at = (spans[order[i]]["batch_seq"], spans[order[i]]["rs_idx"])
-            own = []
-            while i < len(order) and (spans[order[i]]["batch_seq"], spans[order[i]]["rs_idx"]) == at:
-                own.append(order[i])
-                i += 1
-            self.unit(key[0], at, [spans[k] for k in own], [texts[k] for k in own], out, timerValues)
-        yield pd.DataFrame(out, columns=["trace_id", "kind", "decision", "policy", "batch_seq", "rs_idx", "emit_seq", "span"])
-
-    def unit(self, trace_id: str, at: tuple, spans: list[dict], texts: list[str], out: list[tuple], timers) -> None:
+        for slot, own in slots.items():
+            known = self._decisions(slot, now) if decided else {}
+            before = len(known)
+            for trace_id, texts in own.items():
+                held = self._totals(trace_id) if undecided and trace_id not in known else None
+                decision, held = self.trace(trace_id, texts, known[trace_id][0] if trace_id in known else None, held, out)
+                if held is not None:
+                    self._keep(trace_id, slot, held, now, due)
+                elif trace_id not in known:
+                    known[trace_id] = (decision, self._until(now))
+                if len(out) >= OUT_ROWS:
+                    yield pd.DataFrame(out, columns=COLUMNS, dtype=object)
+                    out = []
+            if len(known) > before:
+                self._decide(slot, known)
+        for at, ids in due.items():
+            old = self.due.getValue((at,)) or ([], [])
+            self.due.updateValue((at,), ([*old[0], *(i for i, _ in ids)], [*old[1], *(s for _, s in ids)]))
+            self.handle.registerTimer(at)
+        yield pd.DataFrame(out, columns=COLUMNS, dtype=object)
+
+    def trace(self, trace_id: str, texts: list[str], known: str | None, held: Held | None, out: list[tuple]) -> tuple[str | None, Held | None]:
+        """All rows of a trace in this trigger."""
+        spans = [json.loads(t) for t in texts]
+        order = sorted(range(len(spans)), key=lambda i: tuple(spans[i][c] for c in PLACE))
+        for at, group in groupby(order, key=lambda i: (spans[i]["batch_seq"], spans[i]["rs_idx"])):
+            group = list(group)
+            known, held = self.unit(trace_id, at, [spans[k] for k in group], [texts[k] for k in group], known, held, out)
+        return known, held
+
+    def _until(self, now: int) -> int | None:
+        return None if self.bounded else now + self.decision_ttl
+
+    def _decisions(self, slot: int, now: int) -> dict[str, tuple[str, int | None]]:
+        """Decisions that are remembered, and when they are forgotten."""
+        found = self.decision.getValue((slot,))
+        return {k: (d, at) for k, d, at in zip(*found) if at is None or at > now} if found else {}
+
+    def _decide(self, slot: int, known: dict[str, tuple[str, int | None]]) -> None:
+        self.decision.updateValue((slot,), (list(known), [d for d, _ in known.values()], [at for _, at in known.values()]))
+
+    def _totals(self, trace_id: str) -> Held | None:
+        found = self.totals.getValue((trace_id,))
+        return Held(*found[:-1], list(found[-1]), stored=True) if found else None
+
+    def _keep(self, trace_id: str, slot: int, held: Held, now: int, due: dict[int, list[tuple[str, int]]]) -> None:
+        if len(held.spans) > INLINE:
+            self.held.updateValue((trace_id, held.parts), (held.spans,))
+            held.parts, held.spans = held.parts + 1, []
+        if not self.bounded:
+            held.due = now + self.ttl["secondary" if held.low else "primary"]
+            due.setdefault(held.due, []).append((trace_id, slot))
+        self.totals.updateValue((trace_id,), (held.span_count, held.earliest, held.latest, held.low, held.last_low, held.due, held.parts, held.spans))
+
+    def unit(self, trace_id: str, at: tuple, spans: list[dict], texts: list[str], known: str | None, held: Held | None, out: list[tuple]) -> tuple[str | None, Held | None]:
+        """The trace's decision and what is held of it after a unit."""
         told = (spans[0].get("resource_attrs") or {}).get(DECISION)
-        if self.decision.exists():
-            if self.decision.get()[0] == "Sampled" and told is None:
+        if known is not None:
+            if known == "Sampled" and told is None:
                 self.send(trace_id, at, 2, texts, out)
-            return
+            return known, None
         if told is not None:
-            self.finish(trace_id, at, "Sampled" if told.get("b") else "NotSampled", None, [], out)
-            return
+            return self.finish(trace_id, at, "Sampled" if told.get("b") else "NotSampled", None, [], held, out)
         for s in spans:
             s["attrs"], s["events"] = s.get("attrs") or {}, s.get("events") or []
             s["parent_span_id"] = s.get("parent_span_id")
         new = Trace.of(spans)
         count, start, end, low, last_low = new.span_count, new.earliest_start, new.latest_end, None, None
-        if self.totals.exists():
-            n, a, b, low, last_low = self.totals.get()
-            count, start, end = count + n, min(start, a), max(end, b)
+        if held is not None:
+            count, start, end, low, last_low = count + held.span_count, min(start, held.earliest), max(end, held.latest), held.low, held.last_low
         got = decide(Unit(trace_id, spans, count, start, end, last_low), self.named, spans[0].get("resource_attrs"))
         if got.decision in ("Sampled", "NotSampled"):
-            self.finish(trace_id, at, got.decision, got.policy.name, texts, out)
+            after = self.finish(trace_id, at, got.decision, got.policy.name, texts, held, out)
             if got.decision == "NotSampled" and got.policy.emit_placeholder:
                 out.append((trace_id, "placeholder", got.decision, got.policy.name, *at, None, None))
-            return
+            return after
         is_low = got.decision == "LowPriority"
         name = (last_low or got.policy.name) if is_low else None
-        still_low = is_low and low is not False
-        self.totals.update((count, start, end, still_low, name))
-        for t in texts:
-            self.held.appendValue((t,))
-        self.clear_timers()
-        if self.bounded:
-            return
-        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.ttl["secondary" if still_low else "primary"])
+        held = held or Held(0, 0, 0, False, None)
+        held.span_count, held.earliest, held.latest, held.low, held.last_low = count, start, end, is_low and low is not False, name
+        held.spans += texts
+        return None, held
 
     @staticmethod
     def send(trace_id: str, at: tuple, seq: int, texts: list[str], out: list[tuple]) -> None:
         out.extend((trace_id, "span", None, None, *at, seq, t) for t in texts)
 
-    def finish(self, trace_id, at, decision, policy, texts, out) -> None:
+    def finish(self, trace_id: str, at: tuple, decision: str, policy: str | None, texts: list[str], held: Held | None, out: list[tuple]) -> tuple[str, None]:
+        """A decision falls: held spans are released or dropped.  Who calls stores the decision."""
+        if held is not None:
+            for part in range(held.parts):
+                if decision == "Sampled":
+                    self.send(trace_id, at, 0, self.held.getValue((trace_id, part))[0], out)
+                self.held.removeKey((trace_id, part))
+            if held.stored:
+                self.totals.removeKey((trace_id,))
+            if decision == "Sampled":
+                self.send(trace_id, at, 0, held.spans, out)
         if decision == "Sampled":
-            if self.totals.exists():
-                self.send(trace_id, at, 0, [r[0] for r in self.held.get()], out)
             self.send(trace_id, at, 1, texts, out)
         out.append((trace_id, "decision", decision, policy, *at, None, None))
-        self.decision.update((decision,))
-        self.totals.clear()
-        self.held.clear()
-        self.clear_timers()
-
-    def clear_timers(self) -> None:
-        if self.bounded:
-            return
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        return decision, None
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentProcessingTimeInMs()
         out: list[tuple] = []
-        if self.totals.exists() and not self.decision.exists():
-            self.finish(key[0], (None, None), "NotSampled", "evicted", [], out)
-        yield pd.DataFrame(out, columns=["trace_id", "kind", "decision", "policy", "batch_seq", "rs_idx", "emit_seq", "span"])
+        gone: dict[int, list[str]] = {}
+        for trace_id, slot in dict.fromkeys(zip(*(self.due.getValue((at,)) or ([], [])))):
+            held = self._totals(trace_id)
+            if held is not None and held.due == at:
+                self.finish(trace_id, (None, None), "NotSampled", "evicted", [], held, out)
+                gone.setdefault(slot, []).append(trace_id)
+        for slot, ids in gone.items():
+            self._decide(slot, self._decisions(slot, now) | {i: ("NotSampled", self._until(now)) for i in ids})
+        self.due.removeKey((at,))
+        yield pd.DataFrame(out, columns=COLUMNS, dtype=object)
 
     def close(self) -> None:
         pass
@@ -136,8 +221,9 @@ def sample_stream(spans: DataFrame, named: list[Named], primary_ttl_ms: int = 60
     read comes to an end.  The session gets the state store that this needs.
     """
     spans.sparkSession.conf.set(*STATE_STORE)
-    packed = spans.filter(USABLE).select("trace_id", F.to_json(F.struct(*spans.columns)).alias("span"))
-    return packed.groupBy("trace_id").transformWithStateInPandas(TraceState(named, primary_ttl_ms, secondary_ttl_ms, decision_ttl_ms, bounded), OUTPUT, "Append", "None" if bounded else "ProcessingTime")
+    cell = F.pmod(F.xxhash64("trace_id"), F.lit(BUCKETS * SLOTS))
+    packed = spans.filter(USABLE).select((cell % BUCKETS).cast("int").alias("bucket"), F.floor(cell / BUCKETS).cast("int").alias("slot"), "trace_id", F.to_json(F.struct(*spans.columns)).alias("span"))
+    return packed.groupBy("bucket").transformWithStateInPandas(TraceState(named, primary_ttl_ms, secondary_ttl_ms, decision_ttl_ms, bounded), OUTPUT, "Append", "None" if bounded else "ProcessingTime")
 
 
 def spans_of(output: DataFrame) -> DataFrame:
@@ -168,7 +254,15 @@ def flush_state(spark: SparkSession, checkpoint: str) -> tuple[DataFrame, DataFr
     ``checkpoint`` is the query's ``checkpointLocation``.  The state is read as
     of its last batch and is not changed.
     """
-    read = lambda name: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name)
-    held = read("held").option("flattenCollectionTypes", True).load().select(F.from_json("list_element.span", SPAN).alias("span")).select("span.*")
-    decisions = read("decision").load().select("key.trace_id", "value.decision")
+    def entries(name: str) -> DataFrame:
+        rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).option("flattenCollectionTypes", True).load()
+        lasting = "ttlExpirationMs" not in rows.schema["user_map_value"].dataType.names
+        return rows.select("user_map_value.*" if lasting else "user_map_value.value.*")
+
+    texts = entries("held").select("spans").unionByName(entries("totals").select("spans"))
+    held = texts.select(F.explode("spans").alias("span")).select(F.from_json("span", SPAN).alias("span")).select("span.*")
+    triggers = spark.read.text(f"{checkpoint}/offsets").select(F.get_json_object("value", "$.batchTimestampMs").cast("long").alias("at"))
+    last = triggers.agg(F.coalesce(F.max("at"), F.lit(0))).first()[0]  # one number
+    decisions = entries("decision").select(F.inline(F.arrays_zip("trace_ids", "decisions", "forgotten"))).toDF("trace_id", "decision", "forgotten")
+    decisions = decisions.filter(F.col("forgotten").isNull() | (F.col("forgotten") > last)).drop("forgotten")
     return export.raised(held), export.decision_spans(decisions)
