@@ -1,8 +1,10 @@
 """The sampler over a stream of spans, keyed by trace.
 
-Traces are dealt to buckets by hash; a bucket's state has an entry for each
-trace, of which a trigger touches those that it has rows of.  State per trace: its totals, its held spans and its decision.  Capacity is
-bounded by time instead of by count: a trace that stays undecided for
+Traces are dealt to buckets by hash, and within a bucket to cells; a bucket's
+state has two entries for each cell, its undecided traces and its decisions, of
+which a trigger touches those that it has rows of.  State per trace: its totals,
+its held spans and its decision.  Capacity is bounded by time instead of by
+count: a trace that stays undecided for
 ``primary_ttl_ms`` (``secondary_ttl_ms`` while it is low priority) is evicted as
 not sampled, and a decision is forgotten after ``decision_ttl_ms``.
 
@@ -16,6 +18,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +38,17 @@ OUTPUT = "trace_id string, kind string, decision string, policy string, batch_se
 
 #: Traces share a group of state by hash, so that a trigger calls Python once for a group and not for each trace.
 BUCKETS = 4096
-#: Decisions of a bucket are stored together in so many entries.
+#: Undecided traces and decisions of a bucket are each stored together in so many entries, as JSON.
 SLOTS = 64
-#: A trace's entry has so many held spans at most; more go to entries of their own, which are not written again.
+#: A trace has so many held spans beside its totals at most; more go to entries of their own, which are not written again.
 INLINE = 16
+#: Where an entry of undecided traces gets longer, held spans of those that a trigger touches go to entries of their own too.
+CELL_CHARS = 65_536
 #: Rows of output that are gathered at most before they are passed on, but for one trace's.
 OUT_ROWS = 5000
 PLACE = ("batch_seq", "rs_idx", "scope_idx", "span_idx")
+_place = itemgetter(*PLACE)
+_parsed = json.JSONDecoder().raw_decode
 COLUMNS = ["trace_id", "kind", "decision", "policy", "batch_seq", "rs_idx", "emit_seq", "span"]
 
 
@@ -57,11 +64,10 @@ class Held:
     due: int | None = None
     parts: int = 0
     spans: list[str] = field(default_factory=list)
-    stored: bool = False
 
 
 class TraceState(StatefulProcessor):
-    """Traces of a bucket.  An undecided trace has an entry of its own, decisions share entries; each is read and written at most once a trigger."""
+    """Traces of a bucket.  Undecided traces share entries, decisions share others; each is read and written at most once a trigger."""
 
     def __init__(self, named: list[Named], primary_ttl_ms: int, secondary_ttl_ms: int, decision_ttl_ms: int, bounded: bool):
         self.named = named
@@ -71,10 +77,10 @@ class TraceState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getMapState("totals", "trace_id string", "span_count long, earliest long, latest long, low boolean, last_low string, due long, parts int, spans array<string>")
+        self.totals = handle.getMapState("totals", "slot int", "traces string")
         self.held = handle.getMapState("held", "trace_id string, part int", "spans array<string>")
         #: an entry goes when its last decision is forgotten; until then each decision's own time counts
-        self.decision = handle.getMapState("decision", "slot int", "trace_ids array<string>, decisions array<string>, forgotten array<long>", None if self.bounded else self.decision_ttl)
+        self.decision = handle.getMapState("decision", "slot int", "decisions string", None if self.bounded else self.decision_ttl)
         #: traces by the time at which they are to be evicted, if that is still what their totals say
         self.due = handle.getMapState("due", "due long", "trace_ids array<string>, slots array<int>")
 
@@ -89,18 +95,22 @@ class TraceState(StatefulProcessor):
         out: list[tuple] = []
         for slot, own in slots.items():
             known = self._decisions(slot, now) if decided else {}
-            before = len(known)
+            cell = self._cell(slot) if undecided else {}
+            n_known, n_cell = len(known), len(cell)
+            kept: dict[str, Held] = {}
             for trace_id, texts in own.items():
-                held = self._totals(trace_id) if undecided and trace_id not in known else None
+                held = Held(**cell.pop(trace_id)) if trace_id in cell else None
                 decision, held = self.trace(trace_id, texts, known[trace_id][0] if trace_id in known else None, held, out)
                 if held is not None:
-                    self._keep(trace_id, slot, held, now, due)
+                    kept[trace_id] = held
                 elif trace_id not in known:
                     known[trace_id] = (decision, self._until(now))
                 if len(out) >= OUT_ROWS:
                     yield pd.DataFrame(out, columns=COLUMNS, dtype=object)
                     out = []
-            if len(known) > before:
+            if kept or len(cell) < n_cell:
+                self._keep(slot, cell, kept, now, due)
+            if len(known) > n_known:
                 self._decide(slot, known)
         for at, ids in due.items():
             old = self.due.getValue((at,)) or ([], [])
@@ -110,9 +120,9 @@ class TraceState(StatefulProcessor):
 
     def trace(self, trace_id: str, texts: list[str], known: str | None, held: Held | None, out: list[tuple]) -> tuple[str | None, Held | None]:
         """All rows of a trace in this trigger."""
-        spans = [json.loads(t) for t in texts]
-        order = sorted(range(len(spans)), key=lambda i: tuple(spans[i][c] for c in PLACE))
-        for at, group in groupby(order, key=lambda i: (spans[i]["batch_seq"], spans[i]["rs_idx"])):
+        spans = [_parsed(t)[0] for t in texts]
+        places = [_place(s) for s in spans]
+        for at, group in groupby(sorted(range(len(spans)), key=places.__getitem__), key=lambda i: places[i][:2]):
             group = list(group)
             known, held = self.unit(trace_id, at, [spans[k] for k in group], [texts[k] for k in group], known, held, out)
         return known, held
@@ -123,23 +133,43 @@ class TraceState(StatefulProcessor):
     def _decisions(self, slot: int, now: int) -> dict[str, tuple[str, int | None]]:
         """Decisions that are remembered, and when they are forgotten."""
         found = self.decision.getValue((slot,))
-        return {k: (d, at) for k, d, at in zip(*found) if at is None or at > now} if found else {}
+        return {k: (d, at) for k, (d, at) in json.loads(found[0]).items() if at is None or at > now} if found else {}
 
     def _decide(self, slot: int, known: dict[str, tuple[str, int | None]]) -> None:
-        self.decision.updateValue((slot,), (list(known), [d for d, _ in known.values()], [at for _, at in known.values()]))
+        self.decision.updateValue((slot,), (json.dumps(known),))
+
+    def _cell(self, slot: int) -> dict[str, dict]:
+        """Undecided traces, each the fields of what is held of it."""
+        found = self.totals.getValue((slot,))
+        return json.loads(found[0]) if found else {}
+
+    def _keep(self, slot: int, cell: dict[str, dict], kept: dict[str, Held], now: int, due: dict[int, list[tuple[str, int]]]) -> None:
+        """Undecided traces of a cell: those not touched, and those that were."""
+        for trace_id, held in kept.items():
+            if len(held.spans) > INLINE:
+                self._part(trace_id, held)
+            if not self.bounded:
+                held.due = now + self.ttl["secondary" if held.low else "primary"]
+                due.setdefault(held.due, []).append((trace_id, slot))
+        text = self._text(cell, kept)
+        if len(text) > CELL_CHARS:
+            for trace_id, held in kept.items():
+                if held.spans:
+                    self._part(trace_id, held)
+            text = self._text(cell, kept)
+        if cell or kept:
+            self.totals.updateValue((slot,), (text,))
+        else:
+            self.totals.removeKey((slot,))
 
-    def _totals(self, trace_id: str) -> Held | None:
-        found = self.totals.getValue((trace_id,))
-        return Held(*found[:-1], list(found[-1]), stored=True) if found else None
+    @staticmethod
+    def _text(cell: dict[str, dict], kept: dict[str, Held]) -> str:
+        return json.dumps(cell | {k: vars(h) for k, h in kept.items()}, ensure_ascii=False)
 
-    def _keep(self, trace_id: str, slot: int, held: Held, now: int, due: dict[int, list[tuple[str, int]]]) -> None:
-        if len(held.spans) > INLINE:
-            self.held.updateValue((trace_id, held.parts), (held.spans,))
-            held.parts, held.spans = held.parts + 1, []
-        if not self.bounded:
-            held.due = now + self.ttl["secondary" if held.low else "primary"]
-            due.setdefault(held.due, []).append((trace_id, slot))
-        self.totals.updateValue((trace_id,), (held.span_count, held.earliest, held.latest, held.low, held.last_low, held.due, held.parts, held.spans))
+    def _part(self, trace_id: str, held: Held) -> None:
+        """A trace's held spans go to an entry of their own."""
+        self.held.updateValue((trace_id, held.parts), (held.spans,))
+        held.parts, held.spans = held.parts + 1, []
 
     def unit(self, trace_id: str, at: tuple, spans: list[dict], texts: list[str], known: str | None, held: Held | None, out: list[tuple]) -> tuple[str | None, Held | None]:
         """The trace's decision and what is held of it after a unit."""
@@ -175,14 +205,12 @@ class TraceState(StatefulProcessor):
         out.extend((trace_id, "span", None, None, *at, seq, t) for t in texts)
 
     def finish(self, trace_id: str, at: tuple, decision: str, policy: str | None, texts: list[str], held: Held | None, out: list[tuple]) -> tuple[str, None]:
-        """A decision falls: held spans are released or dropped.  Who calls stores the decision."""
+        """A decision falls: held spans are released or dropped.  Who calls stores the decision and what is left of the cell."""
         if held is not None:
             for part in range(held.parts):
                 if decision == "Sampled":
                     self.send(trace_id, at, 0, self.held.getValue((trace_id, part))[0], out)
                 self.held.removeKey((trace_id, part))
-            if held.stored:
-                self.totals.removeKey((trace_id,))
             if decision == "Sampled":
                 self.send(trace_id, at, 0, held.spans, out)
         if decision == "Sampled":
@@ -194,14 +222,18 @@ class TraceState(StatefulProcessor):
         at = expiredTimerInfo.getExpiryTimeInMs()
         now = timerValues.getCurrentProcessingTimeInMs()
         out: list[tuple] = []
-        gone: dict[int, list[str]] = {}
+        slots: dict[int, list[str]] = {}
         for trace_id, slot in dict.fromkeys(zip(*(self.due.getValue((at,)) or ([], [])))):
-            held = self._totals(trace_id)
-            if held is not None and held.due == at:
-                self.finish(trace_id, (None, None), "NotSampled", "evicted", [], held, out)
-                gone.setdefault(slot, []).append(trace_id)
-        for slot, ids in gone.items():
-            self._decide(slot, self._decisions(slot, now) | {i: ("NotSampled", self._until(now)) for i in ids})
+            slots.setdefault(slot, []).append(trace_id)
+        for slot, ids in slots.items():
+            cell = self._cell(slot)
+            gone = [i for i in ids if i in cell and cell[i]["due"] == at]
+            if not gone:
+                continue
+            for trace_id in gone:
+                self.finish(trace_id, (None, None), "NotSampled", "evicted", [], Held(**cell.pop(trace_id)), out)
+            self._keep(slot, cell, {}, now, {})
+            self._decide(slot, self._decisions(slot, now) | {i: ("NotSampled", self._until(now)) for i in gone})
         self.due.removeKey((at,))
         yield pd.DataFrame(out, columns=COLUMNS, dtype=object)
 
@@ -259,10 +291,12 @@ def flush_state(spark: SparkSession, checkpoint: str) -> tuple[DataFrame, DataFr
         lasting = "ttlExpirationMs" not in rows.schema["user_map_value"].dataType.names
         return rows.select("user_map_value.*" if lasting else "user_map_value.value.*")
 
-    texts = entries("held").select("spans").unionByName(entries("totals").select("spans"))
+    cells = entries("totals").select(F.explode(F.from_json("traces", "map<string, struct<spans: array<string>>>")))
+    texts = entries("held").select("spans").unionByName(cells.select("value.spans"))
     held = texts.select(F.explode("spans").alias("span")).select(F.from_json("span", SPAN).alias("span")).select("span.*")
     triggers = spark.read.text(f"{checkpoint}/offsets").select(F.get_json_object("value", "$.batchTimestampMs").cast("long").alias("at"))
     last = triggers.agg(F.coalesce(F.max("at"), F.lit(0))).first()[0]  # one number
-    decisions = entries("decision").select(F.inline(F.arrays_zip("trace_ids", "decisions", "forgotten"))).toDF("trace_id", "decision", "forgotten")
+    decisions = entries("decision").select(F.explode(F.from_json("decisions", "map<string, array<string>>")).alias("trace_id", "told"))
+    decisions = decisions.select("trace_id", F.col("told")[0].alias("decision"), F.col("told")[1].cast("long").alias("forgotten"))
     decisions = decisions.filter(F.col("forgotten").isNull() | (F.col("forgotten") > last)).drop("forgotten")
     return export.raised(held), export.decision_spans(decisions)
